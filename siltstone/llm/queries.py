@@ -24,7 +24,7 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _split(spark, d).where(F.size("pieces") > 1).select("unit_id").distinct()
+    return _split(spark, d).select("unit_id", F.explode("pieces").alias("p")).where("p.piece_no = 2").select("unit_id").distinct()
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +71,8 @@ SQL = {
 WITH own AS (SELECT DISTINCT id, list_filter(regexp_split_to_array(lower(chunk_text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM content_chunks WHERE chunk_text IS NOT NULL),
 sh AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM own, range(1, len(w) - 1) AS t(i)),
 n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
-both AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
-SELECT id_a, id_b FROM both JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE m >= 0.6 * (x.n + y.n - m)""",
+pairs AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM pairs JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE m >= 0.6 * (x.n + y.n - m)""",
     "p4_found": f"""
 WITH f AS (SELECT id, max(option_id) AS option_id FROM indexed_files GROUP BY id),
 o AS (SELECT option_id, least(greatest(COALESCE(target_characters, 1600), 128), 65536) AS t, COALESCE(max_characters, 2400) AS m FROM chunking_options)

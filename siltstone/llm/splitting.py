@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.binding import let
+
 #: Defaults for null options and the ranges they are held within.
 TARGET, TARGET_RANGE = 1600, (128, 65536)
 MAXIMUM, MAXIMUM_TOP = 2400, 98304
@@ -56,33 +58,46 @@ def split_items(items: DataFrame, text: str = "text", limit: str = "limit", over
     sentence fits, the overlap starts after a white space or else is that quarter.
     No piece exceeds the limit. Null and blank texts have no pieces.
     """
-    own, white = items.withColumn("_t", F.btrim(F.col(text), F.lit(WHITE))), F.lit(WHITE)
-    own = own.withColumn("_room", F.when(F.col(overlap_units) > 0, F.floor(F.col(limit) / 4)).otherwise(0).cast("int"))
-    own = own.withColumn("_long", F.char_length("_t") > F.col(limit))
-    cores = F.when(F.col("_long"), F.regexp_extract_all("_t", cut_pattern(F.col(limit) - F.col("_room")), F.lit(0))).when(F.char_length("_t") > 0, F.array("_t")).otherwise(F.array().cast("array<string>"))
-    ends = lambda parts: F.aggregate(
-        parts, F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array(F.coalesce(F.element_at(acc, F.lit(-1)), F.lit(0)) + F.char_length(p)))
-    )
-    own = own.withColumn("_cores", cores).withColumn("_ends", F.when(F.col("_long"), ends(F.col("_cores"))))
-    marks = F.when(F.col("_long") & (F.col("_room") > 0), F.concat(F.array(F.lit(0)), ends(F.regexp_extract_all("_t", F.lit(_SENTENCES), F.lit(0)))))
-    own = own.withColumn("_marks", F.coalesce(marks, F.array().cast("array<int>")))
-
-    def piece(core: Column, i: Column) -> Column:
-        start = F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.col("_ends"), F.greatest(i, F.lit(1))))
-        near = F.filter(F.col("_marks"), lambda m: (m < start) & (m >= start - F.col("_room")))
-        back = F.substring(F.col("_t"), F.greatest(start - F.col("_room"), F.lit(0)) + 1, F.least(F.col("_room"), start))
-        word = F.char_length(back) - F.char_length(F.regexp_replace(back, r"^\S*\s+(?=\S)", ""))
-        plain = F.char_length(back) - F.when(word < F.char_length(back), word).otherwise(0)
-        over = F.when((i == 0) | (F.col("_room") == 0), F.lit(0)).when(F.size(near) > 0, start - F.element_at(near, -F.least(F.size(near), F.col(overlap_units)))).otherwise(plain)
-        return F.struct(
-            (i + 1).cast("int").alias("piece_no"),
-            start.cast("int").alias("start"),
-            F.char_length(core).alias("core_length"),
-            over.cast("int").alias("overlap_length"),
-            F.when(over == 0, core).otherwise(F.substring(F.col("_t"), start - over + 1, over + F.char_length(core))).alias("piece_text"),
-        )
-
-    return own.withColumn("pieces", F.transform("_cores", piece)).drop("_t", "_room", "_long", "_cores", "_ends", "_marks")
+    room = F.when(F.col(overlap_units) > 0, F.floor(F.col(limit) / 4)).otherwise(0).cast("int")
+    none = F.array().cast("array<int>")
+
+    def ends(parts: Column) -> Column:
+        return F.aggregate(parts, none, lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.char_length(p))))
+
+    def piece(t: Column, cores: Column, stop: Column, marks: Column, core: Column, i: Column) -> Column:
+        def over(start: Column) -> Column:
+            near = F.filter(marks, lambda m: (m < start) & (m >= start - room))
+            back = F.substring(t, F.greatest(start - room, F.lit(0)) + 1, F.least(room, start))
+            tail = let(back, lambda b: F.coalesce(F.nullif(F.char_length(F.regexp_replace(b, r"^\S*\s+(?=\S)", "")), F.lit(0)), F.char_length(b)))
+            return F.when((i == 0) | (room == 0), F.lit(0)).otherwise(
+                let(near, lambda n: F.when(F.size(n) > 0, start - F.get(n, F.size(n) - F.least(F.size(n), F.col(overlap_units)))).otherwise(tail))
+            )
+
+        def built(s: Column) -> Column:
+            text_of = F.when(s["over"] == 0, core).otherwise(F.substring(t, s["start"] - s["over"] + 1, s["over"] + F.char_length(core)))
+            return F.struct(
+                (i + 1).cast("int").alias("piece_no"),
+                s["start"].cast("int").alias("start"),
+                F.char_length(core).alias("core_length"),
+                s["over"].cast("int").alias("overlap_length"),
+                text_of.alias("piece_text"),
+            )
+
+        start = F.when(i == 0, F.lit(0)).otherwise(F.get(stop, i - 1))
+        return let(start, lambda st: let(F.struct(st.alias("start"), over(st).alias("over")), built))
+
+    def whole(t: Column) -> Column:
+        return F.array(F.struct(F.lit(1).alias("piece_no"), F.lit(0).alias("start"), F.char_length(t).alias("core_length"), F.lit(0).alias("overlap_length"), t.alias("piece_text")))
+
+    def cut(t: Column) -> Column:
+        cores = F.regexp_extract_all(t, cut_pattern(F.col(limit) - room), F.lit(0))
+        marks = F.when(room > 0, F.concat(F.array(F.lit(0)), ends(F.regexp_extract_all(t, F.lit(_SENTENCES), F.lit(0))))).otherwise(none)
+        return let(cores, lambda c: let(ends(c), lambda e: let(marks, lambda m: F.transform(c, lambda core, i: piece(t, c, e, m, core, i)))))
+
+    def of(t: Column) -> Column:
+        return F.when(F.char_length(t) > F.col(limit), cut(t)).when(F.char_length(t) > 0, whole(t)).otherwise(F.slice(whole(t), 1, 0))
+
+    return items.withColumn("pieces", let(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(WHITE)), of))
 
 
 def with_limits(units: DataFrame, files: DataFrame, options: DataFrame) -> DataFrame:
