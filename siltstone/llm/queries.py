@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import mixing, near_duplicates, packing, splitting, tokens
+from siltstone.llm import encoding, mixing, near_duplicates, packing, splitting, tokens
 from siltstone.runtime import Scratch, read
 
 
@@ -62,7 +62,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(docs, mixes, mixing.draw(spark, docs, mixes))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p7_containers, p7_fill, p8_mixture, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_passages(read(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every garbled passage with its original text, null where characters were lost."""
+    return encoding.garbled_passages(read(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_restored)}
 
 _WHITE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||chr(8232)||chr(8233)||chr(8239)||chr(8287)||chr(12288)||" + "||".join(f"chr({c})" for c in range(0x2000, 0x200B))
 
