@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import encoding, language, mixing, near_duplicates, packing, splitting, tokens
+from siltstone.llm import encoding, language, mixing, near_duplicates, packing, scans, splitting, tokens
 from siltstone.runtime import Scratch, read
 
 
@@ -71,6 +71,20 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_passages(read(spark, d, "documents"))
 
 
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired_lines(read(spark, d, "content_units"), read(spark, d, "indexed_lines"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    defects = F.array_compact(F.array(*(F.when(F.col(c), F.lit(c)) for c in ("furniture", "broken", "misread"))))
+    return _scans(spark, d).select(F.col("id").alias("line_id"), F.explode(defects).alias("defect"))
+
+
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Continuous repaired paragraphs of every scanned page."""
+    return scans.paragraphs(_scans(spark, d)).withColumnRenamed("unit", "unit_id")
+
+
 def _segments(units: DataFrame) -> DataFrame:
     once = units.select("id", "unit_text", "unit_language")
     return language.segments(once, language.train(once, "id", "unit_text", "unit_language"))
@@ -87,7 +101,7 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(read(spark, d, "content_units")).withColumnRenamed("id", "unit_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_restored, p6_found, p6_segments)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_restored, p6_found, p6_segments, p3_found, p3_paragraphs)}
 
 _WHITE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||chr(8232)||chr(8233)||chr(8239)||chr(8287)||chr(12288)||" + "||".join(f"chr({c})" for c in range(0x2000, 0x200B))
 
