@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import core_problems
+from siltstone.plans import core_problems, search_queries
 
-QUERIES = dict(core_problems.QUERIES)
-SQL = dict(core_problems.SQL)
-FLAGSHIP = "p1_found"
+_PARTS = (core_problems, search_queries)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
+FLAGSHIP = "term_search"

@@ -195,6 +195,10 @@ def _all(c: Column, terms: list[str]) -> Column:
     return out
 
 
+def _in_folder(term: str) -> Column:
+    return F.exists(F.split(F.col("rel_dir"), "/"), lambda s: has(s, term)) | has(F.col("directory"), term)
+
+
 def to_column(f: FileFilters) -> Column:
     """Over the columns of a files table: ``path, root, rel_path, rel_dir, directory, file_name, stem, ext, size_bytes, modified, created, status, extractor_id``.
 
@@ -207,7 +211,7 @@ def to_column(f: FileFilters) -> Column:
     if f.path:
         out = out & (_all(c("path"), f.path) | _all(c("rel_path"), f.path))
     for t in f.folder:
-        out = out & (F.exists(F.split(c("rel_dir"), "/"), lambda s, t=t: has(s, t)) | has(c("directory"), t))
+        out = out & _in_folder(t)
     if f.root:
         out = out & (_all(c("root"), f.root) | _all(F.substring_index("root", "/", -1), f.root))
     if f.extensions:
