@@ -78,7 +78,7 @@ def draw(spark: SparkSession, docs: DataFrame, mixes: DataFrame, key: str = "doc
     last document of the fraction is taken if that comes nearer to the budget. Ties of keys
     go to the smaller id.
     """
-    own = docs.where("source is not null and tokens > 0")
+    own = docs.where("source is not null and tokens > 0").select(key, "source", "tokens", "weight")
     k = -F.log(uniform(F.col(key), seed)) / F.greatest("weight", F.lit(1e-6))
     sized = own.groupBy("source").agg(F.count("*").alias("rows"))
     plan = budgets(docs, mixes)
