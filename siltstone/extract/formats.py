@@ -104,7 +104,7 @@ def calendar(data: bytes) -> Iterator[Row]:
     for line in cut(re.sub(r"\r?\n[ \t]", "", decode(data))):
         if line.strip() and not re.match(r"(BEGIN|END|VERSION|PRODID)\b", line, re.I):
             n += 1
-            yield n, line.replace("\\n", " ").replace("\\N", " ").replace("\\,", ",").replace("\;", ";").replace("\\\\", "\\"), ""
+            yield n, line.replace("\\n", " ").replace("\\N", " ").replace("\\,", ",").replace("\\;", ";").replace("\\\\", "\\"), ""
 
 
 def eml(data: bytes) -> Iterator[Row]:
