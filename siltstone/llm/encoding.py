@@ -258,7 +258,8 @@ def count_triples(words: DataFrame) -> DataFrame:
             if len(counts) > 500_000:
                 yield pd.DataFrame({"t": list(counts), "n": list(counts.values())})
                 counts.clear()
-        yield pd.DataFrame({"t": list(counts), "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"t": list(counts), "n": list(counts.values())})
 
     return words.mapInPandas(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
 

@@ -46,7 +46,7 @@ def targets(mixes: DataFrame) -> DataFrame:
     """
     own = mixes.groupBy("mix_id", source_name(F.col("source")).alias("source")).agg(
         F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target"),
-        F.max(F.greatest("max_repeats", F.lit(0))).alias("max_repeats"),
+        F.when(F.count("max_repeats") == F.count("*"), F.max(F.greatest("max_repeats", F.lit(0)))).alias("max_repeats"),
         F.max("size_factor").alias("size_factor"),
     )
     whole = F.sum("target").over(Window.partitionBy("mix_id"))
