@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from siltstone.extract import formats as fm
+from siltstone.runtime import spread
 
 Extractor = Callable[[bytes], Iterable]
 SCHEMA = "path string, status string, line_number int, content string, anchor string, issue string, member string, extractor_id string"
@@ -77,4 +78,4 @@ def extract_files(files: DataFrame, registry: Registry | None = None) -> DataFra
                 rows += own
             yield pd.DataFrame(rows, columns=["path", "status", "line_number", "content", "anchor", "issue", "member", "extractor_id"]).astype({"line_number": "Int32"})
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return spread(files.select("path", "content")).mapInPandas(run, SCHEMA)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.query import compile as qc
 from siltstone.query import filters as flt
 from siltstone.query.nodes import And, Node, Not, Or, Term, Unified
+from siltstone.runtime import spread
 from siltstone.sources.adapters import text_lines
 
 #: Hits kept of one file.
@@ -24,7 +25,7 @@ def search_texts(query: Node, texts: DataFrame, key: str, text: str = "text", fi
     """
     if isinstance(query, Unified) and files is not None and not query.filters.empty:
         texts = texts.join(files.where(flt.to_column(query.filters)).select(F.col("file_id").alias(key)), key, "left_semi")
-    lines = text_lines(texts, key, text, qc.prefilter(query, F.col(text)))
+    lines = text_lines(spread(texts.select(key, text).where(qc.prefilter(query, F.col(text)))), key, text)
     hits = lines.where(qc.matches(query, F.col("content"), today))
     return cap_hits(hits, cap) if cap else hits
 

@@ -166,21 +166,26 @@ def hashing_embedder(dimension: int = 64):
 # ------------------------------------------------------------------- chunk windows
 
 
-def chunk_windows(sizes: list[int], target: int, most: int, overlap: int) -> list[tuple[int, int]]:
-    """Windows ``[first, behind last)`` over units in order: a window grows to the target, never beyond ``most`` unless one unit alone is longer."""
-    out, start, n = [], 0, len(sizes)
-    while start < n:
-        length, end = 0, start
-        while end < n and (end == start or length + 1 + sizes[end] <= most):
-            length += sizes[end] + (end > start)
-            end += 1
-            if length >= target:
-                break
-        out.append((start, end))
-        if end >= n:
-            break
-        start = max(start + 1, end - min(overlap, end - start - 1))
-    return out
+def first_window(sizes: list[int], target: int, most: int) -> int:
+    """How many units the first window takes: it grows to the target, never beyond ``most`` unless one unit alone is longer."""
+    length = end = 0
+    while end < len(sizes) and length < target and (end == 0 or length + 1 + sizes[end] <= most):
+        length += sizes[end] + (end > 0)
+        end += 1
+    return end
+
+
+def _windows(file, no: int, held: list[tuple], target: int, most: int, overlap: int, last: bool) -> tuple[int, list[tuple]]:
+    """Cuts the windows that are complete off ``held``; all of them at a file's end. The next window starts ``overlap`` units back, one further at least."""
+    rows: list[tuple] = []
+    while held:
+        n = first_window([s for _, s in held], target, most)
+        if n == len(held) and not last:
+            break  # it may grow, or it is the file's last
+        no += 1
+        rows += [(file, no, uid) for uid, _ in held[:n]]
+        del held[: len(held) if n == len(held) else max(1, n - min(overlap, n - 1))]
+    return no, rows
 
 
 def chunks(units: DataFrame, target: int = 1600, most: int = 2400, overlap: int = 1) -> DataFrame:
@@ -195,14 +200,26 @@ def chunks(units: DataFrame, target: int = 1600, most: int = 2400, overlap: int
     own = units.withColumn("text", F.trim("text")).where("text <> ''").select("file_id", "id", "text").dropDuplicates(["file_id", "id"])
     kind = units.schema["id"].dataType.simpleString()
 
-    def cut(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id")
-        ids = f["id"].tolist()
-        rows = [(f["file_id"].iloc[0], n, i) for n, (a, b) in enumerate(chunk_windows(f["n"].tolist(), target, most, overlap), 1) for i in ids[a:b]]
-        return pd.DataFrame(rows, columns=["file_id", "chunk_no", "id"])
-
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, no, held = None, 0, []
+        for f in frames:
+            rows: list[tuple] = []
+            for fid, uid, n in zip(f["file_id"], f["id"], f["n"], strict=True):
+                if fid != file:
+                    rows += _windows(file, no, held, target, most, overlap, True)[1]
+                    file, no, held = fid, 0, []
+                held.append((uid, n))
+                no, out = _windows(file, no, held, target, most, overlap, False)
+                rows += out
+            yield pd.DataFrame(rows, columns=["file_id", "chunk_no", "id"])
+        rows = _windows(file, no, held, target, most, overlap, True)[1]
+        if rows:
+            yield pd.DataFrame(rows, columns=["file_id", "chunk_no", "id"])
+
+    # a file's units stream through one task in order; what is held is one window
     file_kind = units.schema["file_id"].dataType.simpleString()
-    at = own.select("file_id", "id", F.char_length("text").alias("n")).groupBy("file_id").applyInPandas(cut, f"file_id {file_kind}, chunk_no int, id {kind}")
+    ordered = own.select("file_id", "id", F.char_length("text").alias("n")).repartition("file_id").sortWithinPartitions("file_id", "id")
+    at = ordered.mapInPandas(cut, f"file_id {file_kind}, chunk_no int, id {kind}")
     parts = F.array_sort(F.collect_list(F.struct("id", "text")))
     got = at.join(own, ["file_id", "id"]).groupBy("file_id", "chunk_no").agg(parts.alias("p"))
     text = F.array_join(F.transform("p", lambda s: s["text"]), "\n")

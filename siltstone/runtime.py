@@ -79,6 +79,15 @@ def build_session(app: str = "siltstone", master: str | None = None, partitions:
     return b.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its few files would leave some idle; large inputs have more parts than that and stay as they are.
+
+    For steps that cost far more than moving their rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
