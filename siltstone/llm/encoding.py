@@ -36,6 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.runtime import Scratch, spread
+
 #: Triples kept in the model.
 MODEL_TRIPLES = 300_000
 #: Bits of the filter of suspicious words (8 MB).
@@ -245,7 +247,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
                 counts.clear()
         yield send()
 
-    return docs.where(F.col(text).rlike(_COULD)).select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(docs.where(F.col(text).rlike(_COULD)).select(text)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def count_triples(words: DataFrame) -> DataFrame:
@@ -316,8 +318,6 @@ def garbled_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     ``restored`` is null where characters were lost. Null, empty and pure ASCII texts without lost
     characters have no passages. Repeated rows are judged alike.
     """
-    from siltstone.runtime import Scratch
-
     spark = docs.sparkSession
     scratch = Scratch(spark)
     words = scratch.keep(count_words(docs, text))
@@ -371,4 +371,4 @@ def garbled_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(nos, pa.int32()), pa.array(passages, pa.string()), pa.array(restored, pa.string()), pa.array(how, pa.string())], [key, "passage_no", "passage", "restored", "steps"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.where(F.col(text).rlike(_COULD)).select(key, text).mapInArrow(judge, f"{key} {kind}, passage_no int, passage string, restored string, steps string")
+    return spread(docs.where(F.col(text).rlike(_COULD)).select(key, text)).mapInArrow(judge, f"{key} {kind}, passage_no int, passage string, restored string, steps string")

@@ -19,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.binding import let
+from siltstone.runtime import spread
+
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "ru", "ja")
 #: Usual names and codes of the languages, in lower case.
 NAMES = {
@@ -49,12 +52,9 @@ _STRIP = re.compile(r"[!-~]*[\d_@/\\][!-~]*|[\W\d_]+")
 
 def label_code(label: Column) -> Column:
     """The language that a label names, null if none: codes with or without region and names, in any case."""
-    x = F.lower(F.regexp_replace(label, r"^[\s\W_]+|[\s\W_]+$", ""))
-    base = F.regexp_replace(x, r"[-_. (,;/].*$", "")
-    out = F.lit(None).cast("string")
-    for code, names in NAMES.items():
-        out = F.when(x.isin(*names) | base.isin(*names), F.lit(code)).otherwise(out)
-    return out
+    names = F.str_to_map(F.lit(",".join(f"{n}:{code}" for code, own in NAMES.items() for n in own)), F.lit(","), F.lit(":"))
+    clean = F.lower(F.regexp_replace(label, r"(?U)^[\s\W_]+|[\s\W_]+$", ""))
+    return let(clean, lambda x: F.coalesce(F.try_element_at(names, x), F.try_element_at(names, F.regexp_replace(x, r"[-_. (,;/].*$", ""))))
 
 
 def sentences(text: str) -> list[str]:
@@ -134,11 +134,12 @@ def fit(texts: list[str], labels: list[str]) -> np.ndarray:
 
 
 def score(b: np.ndarray, of: np.ndarray, n: int, logp: np.ndarray) -> np.ndarray:
+    """Sums of the buckets' rows per text; a text's n-grams of one order lie side by side, so runs are added up."""
     out = np.zeros((n, logp.shape[1]), dtype=np.float64)
-    for lo in range(0, len(b), 1 << 20):
-        part, own = logp[b[lo : lo + (1 << 20)]], of[lo : lo + (1 << 20)]
-        for j in range(logp.shape[1]):
-            out[:, j] += np.bincount(own, weights=part[:, j], minlength=n)
+    for lo in range(0, len(b), 1 << 19):
+        own = of[lo : lo + (1 << 19)]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        np.add.at(out, own[starts], np.add.reduceat(logp[b[lo : lo + (1 << 19)]], starts, axis=0))
     return out
 
 
@@ -202,7 +203,7 @@ def segments(units: DataFrame, logp: np.ndarray, key: str = "id", text: str = "u
 
     kind = units.schema[key].dataType.simpleString()
     own = units.where(F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")).select(key, text)
-    return own.mapInArrow(run, f"{key} {kind}, segment_no int, segment string, lang string, letters int, margin double, confidence double")
+    return spread(own).mapInArrow(run, f"{key} {kind}, segment_no int, segment string, lang string, letters int, margin double, confidence double")
 
 
 def units_by_language(parts: DataFrame, key: str = "id") -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from siltstone.runtime import spread
+
 #: Where the vocabulary files lie; a parameter of every function that reads one.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -75,4 +77,4 @@ def with_tokens(docs: DataFrame, text: str = "text", folder: str = TOKENIZERS, v
             n = [sum(map(get, _RUNS.findall(t))) if t else 0 for t in pc.fill_null(col, "").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(n, pa.int64())], [*keep, "tokens"])
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return spread(docs.select(*keep, text)).mapInArrow(run, schema)

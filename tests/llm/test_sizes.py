@@ -133,7 +133,7 @@ def test_draw_matches_brute_force(spark):
     rng = random.Random(6)
     data = [(i, rng.choice(["a"] * 6 + ["b", "c", None]), rng.choice([0, rng.randint(1, 50)]), rng.choice([0.1, 0.5, 1.0]), 1.5, 3) for i in range(900)]
     docs = spark.createDataFrame(data, "doc_id long, source string, tokens long, weight double, k double, upto int")
-    mixes = spark.createDataFrame([(1, "A", 0.5, 1, 0.5), (1, "b", 0.3, 2, 0.5), (1, "c", 0.2, None, 0.5), (1, "nowhere", 0.1, 3, 0.5), (2, "b", 3.0, 0, 0.1), (2, "c", None, 1, 0.1)], "mix_id long, source string, target_share double, max_repeats int, size_factor double")
+    mixes = spark.createDataFrame([(1, "A", 0.5, 1, 0.5), (1, "b", 0.3, 2, 0.5), (1, "c", 0.4, None, 0.5), (1, "nowhere", 0.1, 3, 0.5), (2, "b", 3.0, 0, 0.1), (2, "c", None, 1, 0.1)], "mix_id long, source string, target_share double, max_repeats int, size_factor double")
     old, mixing.RANGE_ROWS = mixing.RANGE_ROWS, 40
     try:
         got = {(r.mix_id, r.doc_id): r.copies for r in mixing.draw(spark, docs, mixes).collect()}
@@ -142,7 +142,7 @@ def test_draw_matches_brute_force(spark):
         mixing.RANGE_ROWS = old
     u = {r.doc_id: r.u for r in docs.select("doc_id", mixing.uniform(F.col("doc_id"), 7).alias("u")).collect()}
     total, want = sum(r[2] for r in data), {}
-    for mix, src, share, cap in ((1, "a", 0.5 / 1.1, 1), (1, "b", 0.3 / 1.1, 2), (1, "c", 0.2 / 1.1, None), (2, "b", 1.0, 0)):
+    for mix, src, share, cap in ((1, "a", 0.5 / 1.3, 1), (1, "b", 0.3 / 1.3, 2), (1, "c", 0.4 / 1.3, None), (2, "b", 1.0, 0)):
         own = sorted((-math.log(u[r[0]]) / r[3], r[0], r[2]) for r in data if r[1] == src and r[2] > 0)
         have, budget = sum(x[2] for x in own), share * (0.5 if mix == 1 else 0.1) * total
         epochs = int(budget // have) if cap is None else min(int(budget // have), cap)
