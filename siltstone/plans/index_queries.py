@@ -192,7 +192,7 @@ _add("preview_windows", lambda s, d: results.preview_windows(search.search_texts
      SELECT file_id, greatest(min(line_number) - 2, 1) AS first_line, max(line_number) + 2 AS last_line FROM g GROUP BY file_id, n""")
 _add("dedupe_hits", lambda s, d: _lines(s, d).select("file_id", "content").dropDuplicates(), f"WITH {LINES_SQL} SELECT DISTINCT file_id, content FROM lines")
 _add("recent_searches", lambda s, d: results.recent_first(read(s, d, "events").withColumn("q", F.concat(F.lit("q"), F.col("user_id") % 60)), "q", "ts").select("q"), "SELECT 'q' || (user_id % 60) AS q FROM events GROUP BY 1 ORDER BY max(ts) DESC, 1 LIMIT 20")
-_add("latency_percentiles", lambda s, d: results.latency(read(s, d, "events"), "value", "event_type"), "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY 1")
+_add("latency_percentiles", lambda s, d: results.latency(read(s, d, "events"), "value", "event_type").select("event_type", *(F.round(p, 6).alias(p) for p in ("p50", "p95", "p99"))), "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 
 
 def relevance_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +205,8 @@ def relevance_metrics(spark: SparkSession, d: str) -> DataFrame:
 
     run = x.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.col("n") + F.when(F.col("file_id") % 3 == F.char_length("query") % 3, 5).otherwise(0)), "file_id"))).where("rank <= 100")
     judged = f.where(F.col("extractor_id").isin(*kinds)).select(F.col("extractor_id").alias("query"), "path")
-    return results.relevance(run.select("query", "path", "rank"), judged)
+    out = results.relevance(run.select("query", "path", "rank"), judged)
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
 _add("relevance_metrics", relevance_metrics, f"""WITH {FILES_SQL}, {LINES_SQL}, h AS (SELECT file_id, count(*) AS n FROM lines WHERE contains(lower(content), 'archive') GROUP BY 1),
@@ -214,7 +215,7 @@ _add("relevance_metrics", relevance_metrics, f"""WITH {FILES_SQL}, {LINES_SQL},
   m AS (SELECT run.query, run.rank, CASE WHEN j.path IS NULL THEN 0 ELSE 1 END AS rel FROM run LEFT JOIN j ON j.query = run.query AND j.path = run.path),
   per AS (SELECT query, min(CASE WHEN rel = 1 THEN rank END) AS first, sum(CASE WHEN rel = 1 AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, count_if(rel = 1 AND rank <= 20) AS found, max(CASE WHEN rank = 1 THEN rel END) AS top FROM m GROUP BY 1),
   w AS (SELECT query, count(*) AS n, list_sum(list_transform(range(1, least(count(*), 10) + 1), lambda i: 1 / log2(i + 1))) AS ideal FROM j GROUP BY 1)
-  SELECT avg(COALESCE(1.0 / first, 0)) AS mrr, avg(COALESCE(dcg / ideal, 0)) AS ndcg, avg(COALESCE(found / n, 0)) AS recall, avg(CASE WHEN dcg IS NULL THEN 1.0 ELSE 0.0 END) AS zero_result_rate, CAST(avg(COALESCE(top, 0)) AS DOUBLE) AS top_accuracy FROM w LEFT JOIN per USING (query)""")
+  SELECT round(avg(COALESCE(1.0 / first, 0)), 6) AS mrr, round(avg(COALESCE(dcg / ideal, 0)), 6) AS ndcg, round(avg(COALESCE(found / n, 0)), 6) AS recall, round(avg(CASE WHEN dcg IS NULL THEN 1.0 ELSE 0.0 END), 6) AS zero_result_rate, round(CAST(avg(COALESCE(top, 0)) AS DOUBLE), 6) AS top_accuracy FROM w LEFT JOIN per USING (query)""")
 
 
 def export_rows(spark: SparkSession, d: str) -> DataFrame:
