@@ -112,6 +112,19 @@ sh AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM
 n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
 pairs AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
 SELECT id_a, id_b FROM pairs JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE m >= 0.6 * (x.n + y.n - m)""",
+    "p2_groups": r"""
+WITH RECURSIVE own AS MATERIALIZED (SELECT DISTINCT id, list_filter(regexp_split_to_array(lower(chunk_text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM content_chunks),
+sh AS MATERIALIZED (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM own, range(1, len(w) - 3) AS t(i)),
+sets AS MATERIALIZED (SELECT id, list(s ORDER BY s) AS l, count(*) AS n FROM sh GROUP BY id),
+reps AS MATERIALIZED (SELECT id, n, min(id) OVER (PARTITION BY l) AS rep, count(*) OVER (PARTITION BY l) AS copies FROM sets),
+pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN reps x ON x.id = a AND x.rep = a JOIN reps y ON y.id = b AND y.rep = b WHERE m >= 0.8 * (x.n + y.n - m)),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rep AS a, rep AS b FROM reps UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b),
+class AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS links FROM ways GROUP BY a)
+SELECT o.id, COALESCE(class_id, o.id) AS class_id, COALESCE(links, 0) AS links, COALESCE(copies, 0) AS copies
+FROM (SELECT DISTINCT id FROM content_chunks) o LEFT JOIN reps r ON r.id = o.id LEFT JOIN class c ON c.a = r.rep LEFT JOIN degree d ON d.a = r.rep""",
     "p4_found": f"""
 WITH f AS (SELECT id, max(option_id) AS option_id FROM indexed_files GROUP BY id),
 o AS (SELECT option_id, least(greatest(COALESCE(target_characters, 1600), 128), 65536) AS t, COALESCE(max_characters, 2400) AS m FROM chunking_options)
