@@ -71,6 +71,18 @@ def test_gaps_and_incomplete_transactions_hold_the_watermark(spark):
     assert {r.path_key for r in got.collect()} == {"a", "b"}
 
 
+def test_an_id_with_very_many_deliveries_completes(spark):
+    t = datetime(2030, 1, 1)
+    row = lambda i, no=1: (i, "r", f"p{i}", 1, 1, t, t, no, 1, 0, "")
+    for n in (61, 62, 63, 64, 200):
+        hot = [row(2, no) for no in range(1, n + 1)]
+        full = spark.createDataFrame([row(1), *hot, *hot[:5], row(3)], SCHEMA)
+        assert changes.watermark(changes.transactions(full)).first().watermark == 3
+        assert changes.replay(full, sealed=False).count() == 3
+        held = spark.createDataFrame([row(1), *(r for r in hot if r[7] != n - 1), row(3)], SCHEMA)
+        assert changes.watermark(changes.transactions(held)).first().watermark == 1
+
+
 def test_empty_feed_and_null_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert changes.replay(empty).count() == 0
