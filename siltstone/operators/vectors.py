@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.binding import let
+from siltstone.runtime import Scratch
 
 #: Hyperplanes, bands of the hash, and vectors from which hashing pays.
 PLANES, BANDS, HASHED_FROM = 64, 8, 512
@@ -41,6 +42,11 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id",
     Queries come in blocks of fixed size to every task; a block is one matrix product per batch of vectors and each task keeps k rows a query,
     so what is shuffled is tasks x queries x k rows.
     """
+    return _nearest(vectors, queries, k, key, vector, block)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str, block: int, candidates=None) -> DataFrame:
+    """``candidates`` gives, for a block of query vectors, ``key, _c``: the numbers of the queries that a vector is scored for; without it, all are."""
     qs = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q"))
     rows = qs.count()
     kind = vectors.schema[key].dataType.simpleString()
@@ -52,6 +58,7 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id",
         if not own:
             continue
         ids, m = [r.query_id for r in own], np.array([r.q for r in own], dtype=np.float64)
+        chosen = vectors if candidates is None else vectors.join(candidates(m), key)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         shared = vectors.sparkSession.sparkContext.broadcast((ids, m))
 
@@ -64,6 +71,11 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id",
                     continue
                 x = np.array(f["v"].tolist(), dtype=np.float64)
                 s = m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                if "c" in f:
+                    scored = np.zeros(s.shape, dtype=bool)
+                    for j, c in enumerate(f["c"]):
+                        scored[c, j] = True
+                    s[~scored] = -1.0
                 keys = f["k"].tolist()
                 for q in range(len(ids)):
                     n = min(len(keys), k + 1)
@@ -74,7 +86,8 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id",
                     best[q] = sorted(best[q] + [(-s[q][j], keys[j]) for j in top if keys[j] != ids[q] and s[q][j] > 0])[:k]
             yield pd.DataFrame([(ids[q], kk, -s) for q in range(len(ids)) for s, kk in best[q]], columns=["query_id", key, "score"])
 
-        got = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(near, f"query_id {kind}, {key} {kind}, score double")
+        own_columns = [F.col(key).alias("k"), F.col(vector).alias("v"), *([] if candidates is None else [F.col("_c").alias("c")])]
+        got = chosen.select(*own_columns).mapInPandas(near, f"query_id {kind}, {key} {kind}, score double")
         out = got if out is None else out.unionByName(got)
     if out is None:
         return qs.select("query_id", F.col("query_id").alias(key), F.lit(0.0).alias("score")).limit(0)
@@ -102,18 +115,26 @@ def signatures(vectors: DataFrame, dimension: int, key: str = "id", vector: str
     return vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(sign, f"{key} {kind}, band int, value int")
 
 
+def _near_values(value: int, flips: int) -> set[int]:
+    """The values up to ``flips`` (at most 2) bits apart from ``value``."""
+    per = PLANES // BANDS
+    return {value} | {value ^ (1 << i) for i in range(per) if flips > 0} | {value ^ (1 << i) ^ (1 << j) for i in range(per) for j in range(i) if flips > 1}
+
+
+def _band_values(m: np.ndarray, seed: int) -> np.ndarray:
+    """The value of each band of each row of ``m``, as in :func:`signatures`."""
+    up = (m @ planes(m.shape[1], seed).T >= 0).reshape(len(m), BANDS, -1)
+    return (up * (1 << np.arange(up.shape[2]))).sum(axis=2)
+
+
 def hashed_top_k(vectors: DataFrame, index: DataFrame, query: list[float], k: int, key: str = "id", vector: str = "vector", seed: int = 17, flips: int = 2) -> DataFrame:
     """The k nearest among the vectors that share a band with the query, up to ``flips`` bits apart in it; scored exactly.
 
     ``index`` comes from :func:`signatures`. If fewer than k candidates share a band, the exact search answers.
     """
-    h, per = planes(len(query), seed), PLANES // BANDS
-    up = (h @ np.array(query) >= 0).reshape(BANDS, per)
     probes = None
-    for b in range(BANDS):
-        value = int((up[b] * (1 << np.arange(per))).sum())
-        near = {value} | {value ^ (1 << i) for i in range(per) if flips > 0} | {value ^ (1 << i) ^ (1 << j) for i in range(per) for j in range(i) if flips > 1}
-        own = (F.col("band") == b) & F.col("value").isin(*sorted(near))
+    for b, value in enumerate(_band_values(np.array([query], dtype=np.float64), seed)[0]):
+        own = (F.col("band") == b) & F.col("value").isin(*sorted(_near_values(int(value), flips)))
         probes = own if probes is None else probes | own
     found = index.where(probes).select(key).distinct()
     if found.limit(k).count() < k:
@@ -121,6 +142,29 @@ def hashed_top_k(vectors: DataFrame, index: DataFrame, query: list[float], k: in
     return top_k(vectors.join(found, key, "left_semi"), query, k, key, vector)
 
 
+def hashed_top_k_many(vectors: DataFrame, index: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "vector", seed: int = 17, flips: int = 2, block: int = 256) -> DataFrame:
+    """:func:`hashed_top_k` of each query: ``query_id, key, score``; equal keys are skipped.
+
+    The probed values of a block of queries meet the index on band and value: one row for each value that occurs, with the numbers of
+    its queries. A query that finds fewer than k is answered by the exact search.
+    """
+    spark = vectors.sparkSession
+
+    def candidates(m: np.ndarray) -> DataFrame:
+        at: dict[tuple[int, int], list[int]] = {}
+        for q, row in enumerate(_band_values(m, seed)):
+            for b, value in enumerate(row):
+                for x in _near_values(int(value), flips):
+                    at.setdefault((b, x), []).append(q)
+        probes = spark.createDataFrame([(b, x, qs) for (b, x), qs in at.items()], "band int, value int, q array<int>")
+        return index.join(F.broadcast(probes), ["band", "value"]).groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("q"))).alias("_c"))
+
+    got = Scratch(spark).keep(_nearest(vectors, queries, k, key, vector, block, candidates))
+    full = got.groupBy("query_id").count().where(F.col("count") >= k)
+    short = queries.join(full, queries[key] == full["query_id"], "left_anti")
+    return got.join(full, "query_id", "left_semi").unionByName(top_k_many(vectors, short, k, key, vector, block))
+
+
 def file_vectors(chunks: DataFrame, file: str = "file_id", vector: str = "vector") -> DataFrame:
     """The normalised mean of each file's vectors. Means are built per position, combined before the shuffle."""
     per = chunks.select(file, F.posexplode(vector).alias("i", "x")).groupBy(file, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))

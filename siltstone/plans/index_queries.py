@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import index, results, search, vectors
 from siltstone.plans.search_queries import _AS_OF_US, _DAY, AS_OF, FILES_SQL, LINES_SQL
 from siltstone.query import build_query
-from siltstone.runtime import read
+from siltstone.runtime import Scratch, read
 from siltstone.sources.adapters import document_files, indexed_files, text_lines
 
 QUERIES, SQL = {}, {}
@@ -282,8 +282,10 @@ _add("semantic_two_level", lambda s, d: vectors.two_level(_vectors(s, d), _query
 
 
 def lsh_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors of every vector whose id is divisible by 100, through the hashed index."""
     v = _vectors(spark, d)
-    return vectors.hashed_top_k(v, vectors.signatures(v, 64, "vec_id"), _query_vector(spark, d), 20, "vec_id")
+    index = Scratch(spark).keep(vectors.signatures(v, 64, "vec_id"))
+    return vectors.hashed_top_k_many(v, index, v.where("vec_id % 100 = 0"), 20, "vec_id")
 
 
 _add("lsh_topk", lsh_topk)

@@ -170,6 +170,31 @@ def test_hashed_search_recall(spark):
     assert found / total >= 0.9
 
 
+def test_hashed_search_of_every_hundredth_vector(spark):
+    from siltstone.plans import index_queries
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.exists(d):
+        pytest.skip("no test data")
+    exact = {}
+    for r in index_queries.knn_every_hundredth(spark, d).collect():
+        exact.setdefault(r.query_id, set()).add(r.vec_id)
+    got = {}
+    for r in index_queries.lsh_topk(spark, d).collect():
+        assert r.query_id != r.vec_id
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert set(got) == set(exact) and all(len(x) == 20 for x in got.values())
+    found = sum(len(own & {v for _, v in sorted(got[q])[:10]}) for q, own in exact.items())
+    assert found / sum(map(len, exact.values())) >= 0.9
+
+
+def test_hashed_search_falls_back_per_query(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [-1.0, 0.1]), ("n", None)], "id string, vector array<float>")
+    own = df.where("id in ('a', 'c')")
+    got = vectors.hashed_top_k_many(df, vectors.signatures(df, 2).where("id = 'x'"), own, 1)
+    assert {(r.query_id, r.id) for r in got.collect()} == {("a", "b")}
+
+
 def test_chunks(spark):
     units = spark.createDataFrame([(i, 1, "x" * 80) for i in range(1, 5)] + [(9, 2, " "), (10, 3, "y" * 500), (11, 3, None), (12, 3, "z")], "id long, file_id long, text string")
     got = {(r.file_id, tuple(r.unit_ids)) for r in vectors.chunks(units, 160, 200, 1).collect()}
