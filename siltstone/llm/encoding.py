@@ -54,6 +54,9 @@ _MOST_STEPS, _MOST_STATES = 4, 24
 _LOST = re.compile(r"[^\W\d_]\?[^\W\d_]|^[“\"(]?\?[^\W\d_]")
 _BROKEN = re.compile("[\ufffd\x80-\x9f]|(?<=[^\\W\\d_])\\?(?=[^\\W\\d_])")
 _ESCAPE = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+\d?);")
+#: Words end at ASCII white space only: U+00A0 and U+0085 are halves of common garbles. The other white space that str.split() knows.
+_WORD = re.compile(r"[^ \t\n\x0b\x0c\r\x1c-\x1f]+")
+_OTHER_SPACE = "\xa0\x85\u3000\u2028\u2029\u202f\u205f\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 
 
@@ -227,10 +230,11 @@ def apply(text: str, steps: tuple) -> str | None:
 
 def words_of(text: str) -> list[str]:
     """Words that could be garbled: with a character outside ASCII, a lost one, or a reference to one."""
-    return [w for w in text.split() if not w.isascii() or ("?" in w and "/" not in w and _LOST.search(w)) or ("&" in w and _ESCAPE.search(w))]
+    own = _WORD.findall(text) if any(c in text for c in _OTHER_SPACE) else text.split()
+    return [w for w in own if not w.isascii() or ("?" in w and "/" not in w and _LOST.search(w)) or ("&" in w and _ESCAPE.search(w))]
 
 
-_COULD = r"[^\x00-\x7F]|\p{L}\?\p{L}|\s[(\x22]?\?\p{L}|&[#a-zA-Z0-9]+;"
+_COULD = r"[^\x00-\x7F]|\p{L}\?\p{L}|(?:^|[\s\x1c-\x1f])[(\x22]?\?\p{L}|&[#a-zA-Z0-9]+;"
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:

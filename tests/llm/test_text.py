@@ -57,6 +57,15 @@ def test_restores_what_was_misread(spark):
     assert encoding.garbled_passages(df.limit(0)).count() == 0
 
 
+def test_garbles_that_hold_white_space(spark):
+    plain = ["per la qualità della città", "voilà déjà, là et à côté", "è già là"] * 40
+    garbled = ["per la qualitÃ\u00a0 trascrive", "della cittÃ\u00a0 e oltre"]
+    rows = [(i, t) for i, t in enumerate([*plain, *garbled, "?berall steht nichts anderes"])]
+    got = {r.doc_id: (r.passage, r.restored) for r in encoding.garbled_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(plain)
+    assert got == {n: (garbled[0], "per la qualità trascrive"), n + 1: (garbled[1], "della città e oltre"), n + 2: ("?berall steht nichts anderes", None)}
+
+
 def test_search_visits_a_state_once():
     model = encoding.Plausibility({"fça": 50, "nã ": 3})
     out, steps, cost, start = encoding.search("faÃ§ade", model)
