@@ -16,7 +16,7 @@ The work is shared out so that each piece is done once:
 3. every distinct word is searched once; words that another reading makes plainly more
    plausible go into a Bloom filter of fixed size;
 4. a second scan takes the documents with such a word and decides passage by passage: the
-   readings found for its words compete on the whole passage. A passage is a line,
+   readings found for its words, and those of a search over the passage itself, compete on the whole passage. A passage is a line,
    or a sentence of a line that was garbled only in part.
 """
 
@@ -27,7 +27,7 @@ import heapq
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,7 +49,7 @@ HOLDS_UTF8, HOLDS_OTHER = (4.0, 0.15), (9.0, 0.22)
 #: Encodings that texts are wrongly read in, and encodings that they were written in.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp852", "iso8859-2", "koi8-r", "cp866", "cp1254", "iso8859-15", "gb18030", "cp932", "big5", "euc_kr", "euc_jp")
 WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "mac_roman", "cp437", "cp850", "cp852", "cp1251", "koi8-r", "cp866", "cp932", "euc_jp", "gb18030")
-_MOST_STEPS, _MOST_STATES = 4, 24
+_MOST_STEPS = 4
 
 _LOST = re.compile(r"[^\W\d_]\?[^\W\d_]|^[“\"(]?\?[^\W\d_]")
 _BROKEN = re.compile("[\ufffd\x80-\x9f]|(?<=[^\\W\\d_])\\?(?=[^\\W\\d_])")
@@ -187,27 +187,29 @@ def _edges(text: str, seen: set[int], first: bool) -> Iterator[tuple[tuple[str,
                 yield (e, d), out
 
 
-def search(text: str, model: Plausibility) -> tuple[str, tuple[tuple[str, ...], ...], float, float]:
-    """The cheapest reachable text: ``(text, steps, cost, cost of the input)``; no steps if the input is the cheapest."""
+def search(text: str, model: Plausibility, accept: Callable[[tuple, float, float], bool] | None = None) -> tuple[str, tuple[tuple[str, ...], ...], float, float]:
+    """The cheapest reachable text: ``(text, steps, cost, cost of the input)``; no steps if the input is the cheapest.
+
+    States that cost up to ``BROKEN`` more than the best so far are opened, all of them, as a step may make a text worse before the
+    next makes it better. ``accept`` says of ``steps, cost, cost of the input`` whether a reading may be the result.
+    """
     start = model.cost(text)
     best = (start, text, ())
     seen = {hash(text)}
     front: list[tuple[float, int, str, tuple]] = [(start, 0, text, ())]
-    opened = 0
-    while front and opened < _MOST_STATES:
+    while front:
         cost, _, now, steps = heapq.heappop(front)
-        if opened and cost > best[0] + BROKEN:
+        if cost > best[0] + BROKEN:
             break
-        opened += 1
         if len(steps) >= _MOST_STEPS:
             continue
         for step, out in _edges(now, seen, not any(len(s) == 2 for s in steps)):
-            c = model.cost(out, cost)
-            if c < cost or step == ("unescape",):
-                if c < best[0]:
-                    best = (c, out, (*steps, step))
-                if step[-1] in ("utf-8", "unescape"):
-                    heapq.heappush(front, (c, len(seen), out, (*steps, step)))
+            on = step[-1] in ("utf-8", "unescape")
+            c = model.cost(out, best[0] + BROKEN if on else best[0])
+            if c < best[0] and (accept is None or accept((*steps, step), c, start)):
+                best = (c, out, (*steps, step))
+            if on and c <= best[0] + BROKEN:
+                heapq.heappush(front, (c, len(seen), out, (*steps, step)))
     return best[1], best[2], best[0], start
 
 
@@ -291,7 +293,8 @@ def _judge(passage: str, model: Plausibility, known: dict[str, tuple]) -> list[t
             for_steps[steps] = for_steps.get(steps, 0.0) + gain
     start = model.cost(passage)
     best: tuple[float, tuple, str] | None = None
-    for steps in sorted(for_steps, key=lambda s: -for_steps[s])[:4]:
+    own = search(passage, model, holds)[1] if for_steps else ()
+    for steps in dict.fromkeys([*sorted(for_steps, key=lambda s: -for_steps[s]), *([own] if own else [])]):
         out = apply(passage, steps)
         if out is not None and out != passage:
             cost = model.cost(out)

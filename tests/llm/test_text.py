@@ -66,6 +66,22 @@ def test_garbles_that_hold_white_space(spark):
     assert got == {n: (garbled[0], "per la qualità trascrive"), n + 1: (garbled[1], "della città e oltre"), n + 2: ("?berall steht nichts anderes", None)}
 
 
+def test_a_passage_is_searched_itself():
+    model = encoding.Plausibility({"aça": 50, "não": 50})
+    words = ["faÃ§ade", "nÃ£o"]
+    known = {w: (((e, "utf-8"),), 30.0) for w, e in zip(words, ("koi8-r", "cp437"), strict=True)}  # neither fits the passage
+    assert encoding._judge(" ".join(words), model, known) == [(" ".join(words), "façade não", "cp1252>utf-8")]
+    many = {f"nÃ£o{i}": (((e, "utf-8"),), 30.0) for i, e in enumerate(("koi8-r", "cp437", "cp866", "cp1251"))} | {"nÃ£o": ((("latin-1", "utf-8"),), 20.0)}
+    assert encoding._judge(" ".join(many), model, dict(many))[0][1] == " ".join(many).replace("Ã£", "ã")
+
+
+def test_search_goes_through_a_costlier_state():
+    twice = "cafÃƒÂ©"
+    model = encoding.Plausibility({t: 1000 for t in encoding.triples(twice)} | {"fé ": 100_000})
+    assert model.cost("cafÃ©") > model.cost(twice)
+    assert encoding.search(twice, model)[:2] == ("café", (("cp1252", "utf-8"), ("cp1252", "utf-8")))
+
+
 def test_search_visits_a_state_once():
     model = encoding.Plausibility({"fça": 50, "nã ": 3})
     out, steps, cost, start = encoding.search("faÃ§ade", model)
