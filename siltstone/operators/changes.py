@@ -6,8 +6,9 @@ The replay
 * assembles each transaction from its deliveries: the highest ``delivery_no``
   holds, and a transaction is complete once deliveries 1..n are all there;
 * holds gaps: the committed watermark is the highest id below which every id
-  has been seen complete. A feed that is *sealed* (no more deliveries can come)
-  has its absent ids void, so its watermark is its last id;
+  has been seen complete or is declared void. A feed that is *sealed* (no more deliveries
+  can come) declares its gaps void, range by range: absent ids never were, and an incomplete
+  transaction is what its highest delivery says;
 * applies the transactions up to the watermark, key by key. Keys do not
   conflict, so each key's changes are reduced on their own: the last change of a
   key decides, which a map-side combined ``max`` finds without sorting or
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.runtime import Scratch
+
 UPSERT, DELETE = 1, 2
 #: Ids per block of the gap search.
 BLOCK = 1 << 16
@@ -52,49 +55,67 @@ def transactions(changes: DataFrame) -> DataFrame:
     return grouped.select("id", "d.delivery_no", "d.kind", "d.root_path", "d.path", "d.size_bytes", F.coalesce(complete, F.lit(False)).alias("complete"))
 
 
-def watermark(tx: DataFrame, first_id: int | None = None) -> DataFrame:
-    """One row: ``first_id, last_id, transactions, missing, watermark`` of a feed that is not sealed.
+def _blocks(tx: DataFrame) -> DataFrame:
+    """One row per block of ids: ``block, lo, hi, n, next_block``; the next block that holds an id (null for the last).
 
-    The watermark is the last id of the unbroken run of complete transactions
-    from ``first_id`` (the lowest id if None); ``first_id - 1`` if that is absent.
-    Gaps are sought block by block (``BLOCK`` ids each), then over one row per
-    block, so no task sees more than a block's ids.
+    Only blocks whose neighbour is absent meet in one window: as many as there are runs of absent blocks, not as there are blocks.
     """
-    own = tx.select("id", "complete", F.floor(F.col("id") / BLOCK).alias("block"))
-    w = Window.partitionBy("block").orderBy("id")
-    held = F.when(~F.col("complete"), F.col("id")).otherwise(F.when(F.lead("id").over(w) > F.col("id") + 1, F.col("id") + 1))
-    blocks = (
-        own.withColumn("held", held)
-        .groupBy("block")
-        .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.min("held").alias("held"))
-    )
-    before = F.coalesce(F.lag("hi").over(Window.orderBy("block")), F.lit(first_id).cast("long") - 1)
-    stop = F.least("held", F.when(before + 1 < F.col("lo"), before + 1))
-    out = blocks.withColumn("stop", stop).agg(
-        F.coalesce(F.lit(first_id).cast("long"), F.min("lo")).alias("first_id"),
-        F.max("hi").alias("last_id"),
-        F.sum("n").alias("transactions"),
-        F.min("stop").alias("stop"),
-    )
-    return out.select(
-        "first_id",
+    own = tx.select("id", F.floor(F.col("id") / BLOCK).alias("block")).groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
+    here = own.select((F.col("block") - 1).alias("block"), F.lit(True).alias("followed"))
+    led = own.select((F.col("block") + 1).alias("block"), F.lit(True).alias("preceded"))
+    x = own.join(here, "block", "left").join(led, "block", "left")
+    border = x.where("followed is null or preceded is null").withColumn("far", F.lead("block").over(Window.orderBy("block")))
+    far = border.where("followed is null").select("block", "far")
+    return x.join(far, "block", "left").select("block", "lo", "hi", "n", F.when(F.col("followed"), F.col("block") + 1).otherwise(F.col("far")).alias("next_block"))
+
+
+def gaps(tx: DataFrame, first_id: int | None = None) -> DataFrame:
+    """``lo, hi, reason``: the ranges of ids that hold a feed up, ``absent`` ids and ``incomplete`` transactions.
+
+    Sought block by block (``BLOCK`` ids each), so no task sees more than a block's ids; a range that crosses blocks comes in
+    parts. ``first_id`` is where the feed starts (the lowest id if None). A feed without ids has no gaps.
+    """
+    block = F.floor(F.col("id") / BLOCK)
+    inside = tx.select("id", F.lead("id").over(Window.partitionBy(block).orderBy("id")).alias("next")).where(F.col("next") > F.col("id") + 1)
+    blocks = _blocks(tx)
+    absent = inside.select((F.col("id") + 1).alias("lo"), (F.col("next") - 1).alias("hi"))
+    behind = blocks.where("next_block is not null").select((F.col("hi") + 1).alias("lo"), (F.col("next_block") * BLOCK - 1).alias("hi"))
+    start = F.lit(first_id).cast("long")
+    head = tx.agg(F.min("id").alias("first")).select(F.coalesce(start, "first").alias("lo"), (F.col("first") - 1).alias("hi"))
+    before = blocks.join(F.broadcast(tx.agg(F.min("id").alias("first"))), F.col("lo") > F.col("first")).select((F.col("block") * BLOCK).alias("lo"), (F.col("lo") - 1).alias("hi"))
+    holes = absent.unionByName(behind).unionByName(head).unionByName(before).where("lo <= hi").withColumn("reason", F.lit("absent"))
+    return holes.unionByName(tx.where(~F.col("complete")).select(F.col("id").alias("lo"), F.col("id").alias("hi"), F.lit("incomplete").alias("reason")))
+
+
+def watermark(tx: DataFrame, first_id: int | None = None, voids: DataFrame | None = None) -> DataFrame:
+    """One row: ``first_id, last_id, transactions, missing, watermark``.
+
+    The watermark is the last id below the first gap that isn't void, ``first_id - 1`` if the feed's start is
+    absent. ``voids`` has the gaps declared void, as rows of :func:`gaps` (``lo, hi``); a feed that is still open has none.
+    """
+    held = gaps(tx, first_id)
+    if voids is not None:
+        held = held.join(voids.select("lo", "hi"), ["lo", "hi"], "left_anti")
+    stop = held.agg(F.min("lo").alias("stop"))
+    ends = tx.agg(F.min("id").alias("lo"), F.max("id").alias("last_id"), F.count("*").alias("transactions"))
+    first = F.coalesce(F.lit(first_id).cast("long"), "lo").alias("first_id")
+    return ends.join(F.broadcast(stop), F.lit(True)).select(
+        first,
         "last_id",
-        F.coalesce("transactions", F.lit(0)).alias("transactions"),
-        (F.col("last_id") - F.col("first_id") + 1 - F.col("transactions")).alias("missing"),
+        "transactions",
+        (F.col("last_id") - first + 1 - F.col("transactions")).alias("missing"),
         F.coalesce(F.col("stop") - 1, F.col("last_id")).alias("watermark"),
     )
 
 
-def apply_changes(tx: DataFrame, up_to: DataFrame | None = None) -> DataFrame:
-    """The files that exist after the transactions: ``root_path, path_key, id, size_bytes``.
+def apply_changes(tx: DataFrame, up_to: DataFrame) -> DataFrame:
+    """The files that exist after the transactions up to the watermark: ``root_path, path_key, id, size_bytes``.
 
-    ``up_to`` is the one row of :func:`watermark`; without it the feed is sealed
-    and every transaction counts. Kinds other than upsert and delete, null kinds and
+    ``up_to`` is the one row of :func:`watermark`. Kinds other than upsert and delete, null kinds and
     null paths alter no file. A file exists if its last change is an upsert.
     """
-    if up_to is not None:
-        tx = tx.join(F.broadcast(up_to.select("watermark")), F.col("id") <= F.col("watermark")).drop("watermark")
     own = tx.where(F.col("path").isNotNull() & F.col("kind").isin(UPSERT, DELETE))
+    own = own.join(F.broadcast(up_to.select("watermark")), F.col("id") <= F.col("watermark")).drop("watermark")
     last = own.groupBy("root_path", path_key(F.col("path")).alias("path_key")).agg(F.max(F.struct("id", "kind", "size_bytes")).alias("c"))
     return last.where(F.col("c.kind") == UPSERT).select("root_path", "path_key", F.col("c.id").alias("id"), F.col("c.size_bytes").alias("size_bytes"))
 
@@ -102,7 +123,9 @@ def apply_changes(tx: DataFrame, up_to: DataFrame | None = None) -> DataFrame:
 def replay(changes: DataFrame, sealed: bool = True, first_id: int | None = None) -> DataFrame:
     """Current state of the table that ``changes`` describes; see the module's text.
 
-    An empty feed gives no rows. Columns beyond those named in the feed's schema are ignored.
+    The transactions are assembled and written once; gaps, watermark and state read them. Sealing a feed declares its gaps void,
+    which lets the watermark pass; an open feed is held at its first gap. An empty feed gives no rows.
+    Columns beyond those named in the feed's schema are ignored.
     """
-    tx = transactions(changes)
-    return apply_changes(tx, None if sealed else watermark(tx, first_id))
+    tx = Scratch(changes.sparkSession).keep(transactions(changes))
+    return apply_changes(tx, watermark(tx, first_id, gaps(tx, first_id) if sealed else None))

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import json
-import os
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.search import cap_hits
+from siltstone.operators.store import CONTENT_VERSION, SnapshotStore  # noqa: F401
 from siltstone.query import compile as qc
 from siltstone.query.filters import category
 from siltstone.query.nodes import Node
 
-SCHEMA_VERSION, CONTENT_VERSION = "1", "content-1"
 TABLES = ("files", "lines", "content_units", "postings", "metadata_tokens", "chunks", "vectors", "issues", "drifts")
 
 
@@ -167,66 +164,7 @@ def containing_roots(paths: DataFrame, roots: DataFrame, most_roots: int = 100_0
     return paths.select("path").distinct().select("path", F.explode(up).alias("_at")).join(r, "_at").select("path", F.explode("_ids").alias("root_id"))
 
 
-# -------------------------------------------------------------------- snapshots
-
-
-class SnapshotStore:
-    """Tables as immutable snapshots with a manifest that is swapped in one rename; one writer at a time.
-
-    Readers see the last committed snapshot while a new one is written. ``profile`` describes what was indexed;
-    a stored schema version that differs is refused.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        os.makedirs(folder, exist_ok=True)
-
-    def manifest(self) -> dict | None:
-        try:
-            with open(f"{self.folder}/MANIFEST.json") as f:
-                m = json.load(f)
-        except FileNotFoundError:
-            return None
-        if m.get("schema") != SCHEMA_VERSION:
-            raise ValueError(f"index schema {m.get('schema')} can't be read; rebuild it")
-        return m
-
-    def read(self, table: str) -> DataFrame:
-        m = self.manifest()
-        if m is None or table not in m["tables"]:
-            raise LookupError(f"no snapshot of {table}")
-        return self.spark.read.parquet(f"{self.folder}/{m['tables'][table]}")
-
-    def commit(self, tables: dict[str, DataFrame], profile: dict | None = None, partition_by: str | None = None) -> int:
-        """Writes the tables given; the others stay as they are."""
-        lock = f"{self.folder}/.lock"
-        fd = os.open(lock, os.O_CREAT | os.O_EXCL)
-        try:
-            m = self.manifest() or {"schema": SCHEMA_VERSION, "content": CONTENT_VERSION, "version": 0, "tables": {}, "profiles": {}}
-            version = m["version"] + 1
-            for name, df in tables.items():
-                at = f"v={version}/{name}"
-                w = df.write.mode("overwrite")
-                (w.partitionBy(partition_by) if partition_by and partition_by in df.columns else w).parquet(f"{self.folder}/{at}")
-                m["tables"][name] = at
-            m["version"] = version
-            m["profiles"] |= profile or {}
-            temp = f"{self.folder}/MANIFEST.{uuid.uuid4().hex}"
-            with open(temp, "w") as f:
-                json.dump(m, f)
-            os.replace(temp, f"{self.folder}/MANIFEST.json")
-            return version
-        finally:
-            os.close(fd)
-            os.unlink(lock)
-
-    def compact(self, files: int = 1) -> int:
-        """Rewrites the current tables with few files and commits them."""
-        m = self.manifest() or {"tables": {}}
-        return self.commit({t: self.read(t).coalesce(files) for t in m["tables"]})
-
-    def clear_root(self, table: str, root: str, column: str = "root") -> int:
-        return self.commit({table: self.read(table).where(F.col(column) != root)})
+# -------------------------------------------------------------------- coverage
 
 
 def covers(profile: dict, request: dict) -> str:

@@ -18,6 +18,11 @@ def p1_watermark(spark: SparkSession, d: str) -> DataFrame:
     return changes.watermark(changes.transactions(read(spark, d, "pending_changes")))
 
 
+def p1_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """What holds the open feed up: runs of absent ids and incomplete transactions."""
+    return changes.gaps(changes.transactions(read(spark, d, "pending_changes")))
+
+
 def p1_visible(spark: SparkSession, d: str) -> DataFrame:
     """Files of the feed up to the contiguous watermark, gaps held."""
     return changes.replay(read(spark, d, "pending_changes"), sealed=False).select("root_path", "path_key", "id")
@@ -48,7 +53,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchy(hierarchy.current_items(read(spark, d, "file_identities"))))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p1_visible, p1_roots, p5_found, p5_paths, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p1_gaps, p1_visible, p1_roots, p5_found, p5_paths, p5_descendants)}
 
 _TX = r"""
 tx AS (
@@ -108,6 +113,11 @@ SQL = {
     "p1_found": f"WITH {_TX}, {_KEYED.format(extra='')} SELECT root_path, path_key, id FROM state WHERE kind = 1",
     "p1_watermark": f"""WITH {_TX}, {_MARK}
         SELECT first_id, last_id, transactions, last_id - first_id + 1 - transactions AS missing, COALESCE(stop, last_id) AS watermark FROM mark""",
+    "p1_gaps": f"""WITH {_TX}
+        SELECT lo, least(hi, lo - lo % 65536 + 65535) AS hi, 'absent' AS reason FROM (
+          SELECT greatest(id + 1, b * 65536) AS lo, nxt - 1 AS hi FROM (SELECT id, lead(id) OVER (ORDER BY id) AS nxt FROM tx), range(4096) AS t(b)
+          WHERE nxt > id + 1 AND (b = (id + 1) // 65536 OR (b > (id + 1) // 65536 AND b <= (nxt - 1) // 65536)))
+        UNION ALL SELECT id, id, 'incomplete' FROM tx WHERE NOT complete""",
     "p1_visible": f"""WITH {_TX}, {_MARK}, {_KEYED.format(extra='AND id <= (SELECT COALESCE(stop, last_id) FROM mark)')}
         SELECT root_path, path_key, id FROM state WHERE kind = 1""",
     "p1_roots": f"""WITH {_TX}, {_KEYED.format(extra='')}

@@ -110,3 +110,64 @@ def test_feed_as_it_arrives_equals_the_whole(spark, tmp_path):
     assert {tuple(r) for r in feed.state().collect()} == interpret(data, mark)
     feed.apply(whole, 2)  # a batch that was applied before changes nothing
     assert {tuple(r) for r in feed.state().collect()} == interpret(data, mark)
+
+
+def test_redelivery_across_batches_that_changes_path_and_kind(spark, tmp_path):
+    """A later delivery of an applied change takes it away from its old file, which falls back to its change before."""
+    from siltstone.streaming.feed import FeedState
+
+    rng, t = random.Random(11), datetime(2030, 1, 1)
+    feed = FeedState(spark, str(tmp_path / "state"), buckets=4)
+    all_rows, last_no = [], {}
+    for batch in range(5):
+        new = []
+        for i in range(batch * 12 + 1, batch * 12 + 13):
+            last_no[i] = 1
+            new.append((i, "r", f"p{rng.randint(0, 7)}", rng.choice([1, 1, 2]), 1, t, t, 1, i, 0, ""))
+        for i in rng.sample(sorted(last_no), 6):
+            last_no[i] += 1
+            new.append((i, "r", f"p{rng.randint(0, 7)}", rng.choice([1, 2, 3]), 1, t, t, last_no[i], i, 0, ""))
+        rng.shuffle(new)
+        all_rows += new
+        feed.apply(spark.createDataFrame(new, SCHEMA), batch)
+        assert feed.watermark() == batch * 12 + 12
+        assert {tuple(r) for r in feed.state().collect()} == interpret(all_rows), batch
+
+
+def test_a_sealed_feed_passes_its_void_ids_and_an_open_one_does_not(spark):
+    t = datetime(2030, 1, 1)
+    row = lambda i, no=1, path="p": (i, "r", path, 1, 1, t, t, no, 1, 0, "")
+    b = changes.BLOCK
+    df = spark.createDataFrame([row(1, path="a"), row(2, path="b"), row(5, 2, path="c"), row(6, path="d"), row(4 * b + 7, path="e")], SCHEMA)
+    tx = changes.transactions(df)
+    got = {(r.lo, r.hi, r.reason) for r in changes.gaps(tx, 0).collect()}
+    assert got == {(0, 0, "absent"), (3, 4, "absent"), (5, 5, "incomplete"), (7, 4 * b - 1, "absent"), (4 * b, 4 * b + 6, "absent")}
+    assert changes.watermark(tx, 0, changes.gaps(tx, 0)).first().watermark == 4 * b + 7
+    some = changes.gaps(tx).where("hi < 5")
+    assert changes.watermark(tx, None, some).first().watermark == 4
+    assert {r.path_key for r in changes.replay(df).collect()} == {"a", "b", "c", "d", "e"}
+    assert {r.path_key for r in changes.replay(df, sealed=False).collect()} == {"a", "b"}
+
+
+def test_a_lease_that_was_left_behind_runs_out(spark, tmp_path):
+    import os
+
+    import pytest
+
+    from siltstone.operators.store import SnapshotStore
+
+    store = SnapshotStore(spark, str(tmp_path / "s"), buckets=4)
+    df = spark.range(20).withColumn("v", changes.F.col("id") * 2)
+    store.commit({"plain": df}, keyed={"own": (df, ["id"], None)})
+    lock = tmp_path / "s/.lock"
+    lock.write_text("gone")
+    with pytest.raises(FileExistsError):
+        store.commit({"plain": df})
+    os.utime(lock, (1, 1))
+    only = {r.b for r in df.where("id = 3").select(changes.F.pmod(changes.F.xxhash64("id"), changes.F.lit(4)).cast("int").alias("b")).collect()}
+    part = store.read("own", only)
+    store.commit({}, keyed={"own": (part.where("id <> 3").select("id", (changes.F.col("v") + 1).alias("v")), ["id"], only)})
+    now = {r.id: r.v for r in store.read("own").collect()}
+    moved = {r.id for r in part.collect()}
+    assert 3 not in now and all(now[i] == 2 * i + (i in moved) for i in range(20) if i != 3) and len(now) == 19
+    assert not lock.exists() and store.sweep() >= 0
