@@ -11,14 +11,16 @@ its whole tree in one row. The reverse walk gives each item its ancestors, and
 ``descendants`` emits the pairs (ancestor, descendant) from those, one item at a
 time and without a shuffle.
 
-Every round reads and writes only what is left. Once at most ``finish_rows``
-items are left (counted, not assumed) one task finishes the peel in memory; above
-that the rounds go on, whatever the height of the trees.
+Every round reads and writes only what is left. A round that takes off less than a
+``SLOW``-th of it ends the peel: what then remains is mostly chains and loops, which pointer doubling resolves
+in as many rounds as their length has bits. So the rounds follow the logarithm of the items, and all layers together, which
+the reverse walk reads, hold at most ``SLOW`` times as many rows as there are items. Once at
+most ``finish_rows`` items are left (counted, not assumed) one task finishes in memory instead, with the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,6 +30,8 @@ from siltstone.runtime import Scratch
 
 _TWO64_LOW = 446744073709551616  # 2**64 = 18 * 10**18 + this
 _E18 = 10**18
+#: A peeling round has to take off this part of what is left, or the rest is left to pointer doubling.
+SLOW = 4
 
 
 def _dec(x: Column | int) -> Column:
@@ -83,89 +87,120 @@ def _order(c: Column) -> Column:
     return F.struct(F.length(c).alias("len"), c.alias("num"))
 
 
-def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Peels what is left in memory; rows as in ``_RESOLVED``."""
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    rows = pd.concat(frames, ignore_index=True)
-    at: dict[tuple, tuple] = {}
-    size: dict[tuple, int] = {}
-    for v, num, parent, name, n, rooted in zip(rows.volume_id, rows.num, rows.parent, rows.item_name, rows.subtree, rows.rooted, strict=True):
-        at[(v, num)] = (None if rooted or parent is None else (v, parent), name)
-        size[(v, num)] = int(n)
-    waiting = dict.fromkeys(at, 0)
-    for p, _ in at.values():
-        if p is not None:
-            waiting[p] += 1
-    ready = [k for k, n in waiting.items() if not n]
-    peeled: list[tuple] = []
-    while ready:
-        k = ready.pop()
-        peeled.append(k)
-        p = at[k][0]
-        if p is not None:
-            size[p] += size[k]
-            waiting[p] -= 1
-            if not waiting[p]:
-                ready.append(p)
-    done: dict[tuple, tuple] = {}  # root, depth, ancestors, path
-    for k in at.keys() - set(peeled):
-        if k in done:
-            continue
-        loop, x = [], k
-        while x not in done and x not in loop[:1]:
-            loop.append(x)
-            x = at[x][0]
-        low = min((x[1] for x in loop), key=lambda t: (len(t), t))
-        for x in loop:
-            done[x] = (low, -1, [], None)
-    for k in reversed(peeled):
-        p, name = at[k]
-        if p is None:
-            done[k] = (k[1], 0, [], name or "")
-        else:
-            root, depth, above, path = done[p]
-            done[k] = (root, -1, [], None) if depth < 0 else (root, depth + 1, [*above, p[1]], f"{path}\\{name or ''}")
-    keys = list(at)
-    yield pd.DataFrame(
-        {
-            "volume_id": [k[0] for k in keys],
-            "num": [k[1] for k in keys],
-            "root": [done[k][0] for k in keys],
-            "depth": pd.Series([done[k][1] for k in keys], dtype="int32"),
-            "ancestors": [done[k][2] for k in keys],
-            "path": [done[k][3] for k in keys],
-            "subtree": pd.Series([size[k] for k in keys], dtype="int64"),
-        }
-    )
+_NONE = "array<string>"
+
+
+def _schema(want: frozenset[str]) -> str:
+    return "volume_id bigint, num string, root string, depth int, subtree bigint" + (", ancestors array<string>" if "ancestors" in want else "") + (", path string" if "path" in want else "")
+
 
+def _finish(want: frozenset[str]):
+    """Peels what is left in memory; rows as in ``_schema``, sent on in parts as lists of ancestors can be long."""
 
-_RESOLVED = "volume_id bigint, num string, root string, depth int, ancestors array<string>, path string, subtree bigint"
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [b for b in batches if len(b)]
+        if not frames:
+            return
+        rows = pd.concat(frames, ignore_index=True)
+        at: dict[tuple, tuple] = {}
+        size: dict[tuple, int] = {}
+        for v, num, parent, name, n, rooted in zip(rows.volume_id, rows.num, rows.parent, rows.item_name, rows.subtree, rows.rooted, strict=True):
+            at[(v, num)] = (None if rooted or parent is None else (v, parent), name or "")
+            size[(v, num)] = int(n)
+        waiting = dict.fromkeys(at, 0)
+        for p, _ in at.values():
+            if p is not None:
+                waiting[p] += 1
+        ready = [k for k, n in waiting.items() if not n]
+        peeled: list[tuple] = []
+        while ready:
+            k = ready.pop()
+            peeled.append(k)
+            p = at[k][0]
+            if p is not None:
+                size[p] += size[k]
+                waiting[p] -= 1
+                if not waiting[p]:
+                    ready.append(p)
+        done: dict[tuple, tuple] = {}  # root, depth
+        loops = at.keys() - set(peeled)
+        for k in loops:
+            if k in done:
+                continue
+            loop, x = [k], at[k][0]
+            while x != k:
+                loop.append(x)
+                x = at[x][0]
+            low = min((x[1] for x in loop), key=lambda t: (len(t), t))
+            for x in loop:
+                done[x] = (low, -1)
+        for k in reversed(peeled):
+            p = at[k][0]
+            if p is None:
+                done[k] = (k[1], 0)
+            else:
+                root, depth = done[p]
+                done[k] = (root, depth if depth < 0 else depth + 1)
 
+        def part(keys: list[tuple], above: list[list[tuple]]) -> pd.DataFrame:
+            out = {
+                "volume_id": [k[0] for k in keys],
+                "num": [k[1] for k in keys],
+                "root": [done[k][0] for k in keys],
+                "depth": pd.Series([done[k][1] for k in keys], dtype="int32"),
+                "subtree": pd.Series([size[k] for k in keys], dtype="int64"),
+            }
+            if "ancestors" in want:
+                out["ancestors"] = [[x[1] for x in a] for a in above]
+            if "path" in want:
+                out["path"] = [None if done[k][1] < 0 else "\\".join(at[x][1] for x in (*a, k)) for k, a in zip(keys, above, strict=True)]
+            return pd.DataFrame(out)
 
-def hierarchy(items: DataFrame, finish_rows: int = 50_000, max_rounds: int = 100_000) -> DataFrame:
-    """``volume_id, num, root, depth, ancestors, path, subtree`` of each item of :func:`current_items`.
+        keys, above, entries = [], [], 0
+        for k in at:
+            own: list[tuple] = []
+            if want and k not in loops:
+                x = at[k][0]
+                while x is not None:
+                    own.append(x)
+                    x = None if x in loops else at[x][0]
+                own.reverse()
+            keys.append(k)
+            above.append(own)
+            entries += 1 + len(own)
+            if entries > 500_000:
+                yield part(keys, above)
+                keys, above, entries = [], [], 0
+        if keys:
+            yield part(keys, above)
+
+    return run
+
+
+def hierarchy(items: DataFrame, finish_rows: int = 50_000, want: Iterable[str] = ("ancestors", "path")) -> DataFrame:
+    """``volume_id, num, root, depth, subtree`` and, as ``want`` says, ``ancestors`` and ``path`` of each item of :func:`current_items`.
 
     An item whose parent is null, itself or not on record on its volume is a root
     of depth 0. ``ancestors`` runs from the root to the parent; ``path`` joins the names
     by ``\\`` (a null name is an empty part); ``subtree`` counts the item and its descendants.
-    Items on a loop or below one have depth -1, no path and no ancestors, and as
-    root the smallest number in that loop; their ``subtree`` counts what hangs below them.
-    A loop longer than ``finish_rows`` is resolved by pointer doubling.
+    Items on a loop or below one have depth -1, no path, and as root the smallest number in that loop. On a loop they have no
+    ancestors and their ``subtree`` counts what hangs below them; below one their ancestors begin with the item on the loop.
+    ``finish_rows`` decides where the work is done and changes no result.
     """
-    spark = items.sparkSession
+    spark, want = items.sparkSession, frozenset(want)
     scratch = Scratch(spark)
     known = items.select("volume_id", F.col("num").alias("parent"), F.lit(True).alias("on_record"))
     rooted = F.col("parent").isNull() | (F.col("parent") == F.col("num")) | F.col("on_record").isNull()
+    named = ["item_name"] if "path" in want or finish_rows else []
     left = scratch.keep(
         items.select("volume_id", "num", "parent", "item_name")
         .join(known, ["volume_id", "parent"], "left")
-        .select("volume_id", "num", "parent", "item_name", rooted.alias("rooted"), F.lit(1).cast("bigint").alias("subtree"))
+        .select("volume_id", "num", "parent", *named, rooted.alias("rooted"), F.lit(1).cast("bigint").alias("subtree"))
     )
     layers: list[DataFrame] = []
-    count, before = left.count(), -1
-    while count > finish_rows and count != before and len(layers) < max_rounds:
+    count = left.count()
+    slow = False
+    while count > finish_rows and not slow:
         inner = left.where(~F.col("rooted")).groupBy("volume_id", F.col("parent").alias("num")).agg(F.lit(True).alias("inner"))
         marked = left.join(inner, ["volume_id", "num"], "left")
         layer = scratch.keep(marked.where("inner is null").drop("inner"))
@@ -180,29 +215,36 @@ def hierarchy(items: DataFrame, finish_rows: int = 50_000, max_rounds: int = 100
         layers.append(layer)
         left, before = after, count
         count = left.count()
-    if count <= finish_rows:
-        solved = scratch.keep(left.coalesce(1).mapInPandas(_finish, _RESOLVED))
+        # rounds that take little off would follow the height: chains and loops are left to pointer doubling
+        slow = (before - count) * SLOW < before
+    if not count:
+        solved = spark.createDataFrame([], _schema(want))
+    elif count <= finish_rows:
+        solved = scratch.keep(left.coalesce(1).mapInPandas(_finish(want), _schema(want)))
     else:
-        solved = scratch.keep(_loops(left, count, scratch))
+        solved = scratch.keep(_doubled(left, scratch, want))
     scratch.drop(left)
-    inner_solved, parts = solved, [solved]
+    parts = [solved]
     for k in range(len(layers) - 1, -1, -1):
-        above = inner_solved.select("volume_id", F.col("num").alias("parent"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"), F.col("ancestors").alias("p_anc"), F.col("path").alias("p_path"))
+        above = solved.select("volume_id", F.col("num").alias("parent"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"), *(F.col(c).alias(f"p_{c}") for c in sorted(want)))
         own = layers[k].withColumn("parent", F.when(~F.col("rooted"), F.col("parent")))
-        name = F.coalesce("item_name", F.lit(""))
         looped = F.col("p_depth") < 0
-        got = own.join(above, ["volume_id", "parent"], "left").select(
+        cols = [
             "volume_id",
             "num",
             F.when(F.col("rooted"), F.col("num")).otherwise(F.col("p_root")).alias("root"),
             F.when(F.col("rooted"), 0).when(looped, -1).otherwise(F.col("p_depth") + 1).cast("int").alias("depth"),
-            F.when(F.col("rooted") | looped, F.array().cast("array<string>")).otherwise(F.concat("p_anc", F.array("parent"))).alias("ancestors"),
-            F.when(F.col("rooted"), name).when(looped, None).otherwise(F.concat("p_path", F.lit("\\"), name)).alias("path"),
             "subtree",
-        )
+        ]
+        if "ancestors" in want:
+            cols.append(F.when(F.col("rooted"), F.array().cast(_NONE)).otherwise(F.concat("p_ancestors", F.array("parent"))).alias("ancestors"))
+        if "path" in want:
+            name = F.coalesce("item_name", F.lit(""))
+            cols.append(F.when(F.col("rooted"), name).when(looped, None).otherwise(F.concat("p_path", F.lit("\\"), name)).alias("path"))
+        got = own.join(above, ["volume_id", "parent"], "left").select(*cols)
         if k:
             got = scratch.keep(got)
-            inner_solved = inner_solved.unionByName(got)
+            solved = solved.unionByName(got)
         parts.append(got)
     out = parts[0]
     for p in parts[1:]:
@@ -210,17 +252,77 @@ def hierarchy(items: DataFrame, finish_rows: int = 50_000, max_rounds: int = 100
     return out
 
 
-def _loops(left: DataFrame, count: int, scratch: Scratch) -> DataFrame:
-    """Loops of any length: the smallest number on each by pointer doubling, ceil(log2(count)) rounds."""
-    low = F.col("num")
-    state = scratch.keep(left.select("volume_id", "num", F.col("parent").alias("next"), low.alias("low"), "subtree"))
-    for _ in range(max(1, count.bit_length())):
-        there = state.select("volume_id", F.col("num").alias("next"), F.col("next").alias("next2"), F.col("low").alias("low2"))
-        lower = F.least(_order(F.col("low")), _order(F.col("low2")))
-        after = scratch.keep(state.join(there, ["volume_id", "next"]).select("volume_id", "num", F.col("next2").alias("next"), lower["num"].alias("low"), "subtree"))
+def _loops(left: DataFrame, scratch: Scratch) -> DataFrame:
+    """``volume_id, num, root`` of the items on loops, by pointer doubling in as many rounds as the height has bits.
+
+    After 2**k steps every item that still has a place to be stands above some item; once the places no longer become fewer they are
+    the loops. The smallest number of a loop is doubled on those alone.
+    """
+    step = scratch.keep(left.where(~F.col("rooted")).select("volume_id", "num", F.col("parent").alias("next")))
+    places = -1
+    while True:
+        now = step.select("volume_id", "next").distinct().count()
+        if now == places:
+            break
+        places = now
+        there = step.select("volume_id", F.col("num").alias("next"), F.col("next").alias("next2"))
+        after = scratch.keep(step.join(there, ["volume_id", "next"]).select("volume_id", "num", F.col("next2").alias("next")))
+        scratch.drop(step)
+        step = after
+    on = scratch.keep(step.select("volume_id", F.col("next").alias("num")).distinct())
+    low = scratch.keep(left.join(on, ["volume_id", "num"], "left_semi").select("volume_id", "num", F.col("parent").alias("next"), F.col("num").alias("low")))
+    while True:
+        there = low.select("volume_id", F.col("num").alias("next"), F.col("next").alias("next2"), F.col("low").alias("low2"))
+        lower = F.least(_order(F.col("low")), _order(F.col("low2")))["num"]
+        after = scratch.keep(low.join(there, ["volume_id", "next"]).select("volume_id", "num", F.col("next2").alias("next"), lower.alias("low"), (lower != F.col("low")).alias("fell")))
+        more = after.agg(F.max("fell")).first()[0]
+        scratch.drop(low)
+        low = after.drop("fell") if more else after
+        if not more:
+            break
+        low = scratch.keep(low)
+    scratch.drop(step, on)
+    return low.select("volume_id", "num", F.col("low").alias("root"))
+
+
+def _doubled(left: DataFrame, scratch: Scratch, want: frozenset[str]) -> DataFrame:
+    """Chains and loops of any length, in as many rounds as the height has bits.
+
+    Each item knows the item 2**k steps up (null beyond the top) and what lies between; a round joins it to what that item knows.
+    Sizes go the same way upwards: an item receives the sizes of those that stand 2**k below it, summed before the shuffle.
+    Items on loops are tops of their own.
+    """
+    loops = scratch.keep(_loops(left, scratch))
+    x = left.join(loops.withColumnRenamed("root", "low"), ["volume_id", "num"], "left")
+    top = F.col("rooted") | F.col("low").isNotNull()
+    cols = ["volume_id", "num", F.when(~top, F.col("parent")).alias("up"), F.when(top, 0).otherwise(1).alias("steps"), F.when(top, F.col("num")).otherwise(F.col("parent")).alias("top"), "subtree"]
+    if "ancestors" in want:
+        cols.append(F.when(top, F.array().cast(_NONE)).otherwise(F.array("parent")).alias("ancestors"))
+    if "path" in want:
+        name = F.coalesce("item_name", F.lit(""))
+        cols.append(F.when(top, name).otherwise(F.concat(F.lit("\\"), name)).alias("path"))
+    state = scratch.keep(x.select(*cols))
+    while not state.where("up is not null").isEmpty():
+        there = state.select("volume_id", F.col("num").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("top").alias("top2"), *(F.col(c).alias(f"{c}2") for c in sorted(want)))
+        sent = state.where("up is not null").groupBy("volume_id", F.col("up").alias("num")).agg(F.sum("subtree").alias("more"))
+        joined = state.join(there, ["volume_id", "up"], "left").join(sent, ["volume_id", "num"], "left")
+        cols = ["volume_id", "num", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.coalesce("top2", "top").alias("top"), (F.col("subtree") + F.coalesce("more", F.lit(0))).alias("subtree")]
+        if "ancestors" in want:
+            cols.append(F.concat(F.coalesce("ancestors2", F.array().cast(_NONE)), "ancestors").alias("ancestors"))
+        if "path" in want:
+            cols.append(F.concat(F.coalesce("path2", F.lit("")), "path").alias("path"))
+        after = scratch.keep(joined.select(*cols))
         scratch.drop(state)
         state = after
-    return state.select("volume_id", "num", F.col("low").alias("root"), F.lit(-1).alias("depth"), F.array().cast("array<string>").alias("ancestors"), F.lit(None).cast("string").alias("path"), "subtree")
+    low = loops.select("volume_id", F.col("num").alias("top"), "root")
+    got = state.join(low, ["volume_id", "top"], "left")
+    looped = F.col("root").isNotNull()
+    cols = ["volume_id", "num", F.coalesce("root", "top").alias("root"), F.when(looped, -1).otherwise(F.col("steps")).cast("int").alias("depth"), "subtree"]
+    if "ancestors" in want:
+        cols.append("ancestors")
+    if "path" in want:
+        cols.append(F.when(~looped, F.col("path")).alias("path"))
+    return got.select(*cols)
 
 
 def descendants(tree: DataFrame) -> DataFrame:

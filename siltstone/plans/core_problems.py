@@ -37,23 +37,31 @@ def p1_roots(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _tree(spark: SparkSession, d: str, *want: str, finish_rows: int = 50_000) -> DataFrame:
+    return hierarchy.hierarchy(hierarchy.current_items(read(spark, d, "file_identities")), finish_rows, want)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    tree = hierarchy.hierarchy(hierarchy.current_items(read(spark, d, "file_identities")))
-    return tree.select("volume_id", F.col("num").alias("file_reference_number"), F.col("root").alias("root_reference_number"), "depth")
+    return _tree(spark, d).select("volume_id", F.col("num").alias("file_reference_number"), F.col("root").alias("root_reference_number"), "depth")
+
+
+def p5_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Paths, depths, roots and sizes by rounds alone: no part is finished in one task."""
+    tree = _tree(spark, d, "path", finish_rows=0)
+    return tree.select("volume_id", F.col("num").alias("file_reference_number"), F.col("root").alias("root_reference_number"), "path", "depth", F.col("subtree").alias("subtree_items"))
 
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
     """Full path and subtree size of each item."""
-    tree = hierarchy.hierarchy(hierarchy.current_items(read(spark, d, "file_identities")))
-    return tree.select("volume_id", F.col("num").alias("file_reference_number"), "path", "depth", F.col("subtree").alias("subtree_items"))
+    return _tree(spark, d, "path").select("volume_id", F.col("num").alias("file_reference_number"), "path", "depth", F.col("subtree").alias("subtree_items"))
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     """One row for each item and each of its descendants."""
-    return hierarchy.descendants(hierarchy.hierarchy(hierarchy.current_items(read(spark, d, "file_identities"))))
+    return hierarchy.descendants(_tree(spark, d, "ancestors"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p1_gaps, p1_visible, p1_roots, p5_found, p5_paths, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p1_gaps, p1_visible, p1_roots, p5_found, p5_paths, p5_descendants, p5_rounds)}
 
 _TX = r"""
 tx AS (
@@ -125,13 +133,14 @@ SQL = {
     "p5_found": f"""WITH RECURSIVE {_ITEMS}, {_LOOPED}
         SELECT volume_id, num AS file_reference_number, root AS root_reference_number, depth FROM down
         UNION ALL SELECT volume_id, num, root, -1 FROM low""",
-    "p5_descendants": f"""WITH RECURSIVE {_ITEMS},
+    "p5_descendants": f"""WITH RECURSIVE {_ITEMS}, {_LOOPED},
         pairs AS (
           SELECT volume_id, parent AS ancestor, num AS descendant, 1 AS distance FROM linked WHERE parent IS NOT NULL
-            AND (volume_id, num) IN (SELECT (volume_id, num) FROM down)
+            AND (volume_id, num) NOT IN (SELECT (volume_id, num) FROM onloop)
           UNION ALL
           SELECT p.volume_id, l.parent, p.descendant, p.distance + 1 FROM pairs p JOIN linked l
-            ON l.volume_id = p.volume_id AND l.num = p.ancestor WHERE l.parent IS NOT NULL)
+            ON l.volume_id = p.volume_id AND l.num = p.ancestor WHERE l.parent IS NOT NULL
+            AND (p.volume_id, p.ancestor) NOT IN (SELECT (volume_id, num) FROM onloop))
         SELECT volume_id, ancestor, descendant, distance FROM pairs""",
 }
 SQL["p5_paths"] = f"""WITH RECURSIVE {_ITEMS}, {_LOOPED},
@@ -145,3 +154,7 @@ SQL["p5_paths"] = f"""WITH RECURSIVE {_ITEMS}, {_LOOPED},
         SELECT a.volume_id, a.num AS file_reference_number, path, depth, 1 + COALESCE(n, 0) AS subtree_items
         FROM (SELECT volume_id, num, path, depth FROM down UNION ALL SELECT volume_id, num, NULL, -1 FROM low) a
         LEFT JOIN sized s ON s.volume_id = a.volume_id AND s.num = a.num"""
+
+SQL["p5_rounds"] = SQL["p5_paths"].replace("SELECT a.volume_id, a.num AS file_reference_number, path", "SELECT a.volume_id, a.num AS file_reference_number, a.root AS root_reference_number, path").replace(
+    "SELECT volume_id, num, path, depth FROM down UNION ALL SELECT volume_id, num, NULL, -1 FROM low", "SELECT volume_id, num, root, path, depth FROM down UNION ALL SELECT volume_id, num, root, NULL, -1 FROM low"
+)
