@@ -40,13 +40,21 @@ BUCKETS, ORDERS = 1 << 16, (1, 2, 3, 4)
 SAMPLE_ROWS, SMOOTHING = 300, 0.25
 #: Letters of running text below which a unit has no language; letters and margin (nats) from which a sentence makes one.
 LEAST_LETTERS, SENTENCE_LETTERS, SENTENCE_MARGIN = 40, 15, 6.0
-
-_NOT_TEXT = re.compile(r"[{}<>=|\\\t]|\w\(|\)\s*[;{]|^\s*\d{4}-\d\d-\d\d[T ]|\S{40}.*[A-Za-z0-9+/]$|^[A-Za-z-]+: |^\s*#|\w\.\w+\(|^\s*(?://|--|/\*)|_\w+\s*;")
+#: Lines from the top and bottom of a unit that may be running headers, footers or headings.
+EDGE_LINES = 3
+
+#: Lines that are code, log or header lines by how they begin, and marks that code and tables are full of.
+_BEGINS = re.compile(r"\s*(?:\d{4}-\d\d-\d\d[T ]|#|//|--|/\*|[A-Za-z-]+: )")
+_MARK = re.compile(r"[{}<>=|\\\t]|\w\(|\)\s*[;{]|_\w+\s*;")
+_MAYBE = re.compile(r"[{}<>=|\\\t;(]")
+_PAGE_NO = re.compile(r"(?:^|[^\w.,])\d{1,4}\W*$")
+_LONG = re.compile(r"\S{40}")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _JOIN = re.compile(r"(?<=[^\W\d_])[-\u2010\u00ad]\n\s*(?=[^\W\d_])")
 _SPLIT = re.compile(r"(?<=[。！？])\s*|(?<=[.!?…])\s+|(?<=[.!?…][”\"’»)])\s+")
 _ENDS = re.compile(r"[.!?…。！？;:][”\"’»)]*$")
 _WORD = re.compile(r"[^\W\d_]+")
+_NO_WORD = re.compile(r"[\d_@/\\]")
 _STRIP = re.compile(r"[!-~]*[\d_@/\\][!-~]*|[\W\d_]+")
 
 
@@ -57,25 +65,38 @@ def label_code(label: Column) -> Column:
     return let(clean, lambda x: F.coalesce(F.try_element_at(names, x), F.try_element_at(names, F.regexp_replace(x, r"[-_. (,;/].*$", ""))))
 
 
+def _is_code(line: str) -> bool:
+    """Lines with a mark of code for every few words; a single mark in a line of text, as scanners make them, is none."""
+    if _BEGINS.match(line) or line[-1:].isalnum() and _LONG.search(line) and not _CJK.search(line):
+        return True
+    return bool(_MAYBE.search(line)) and 5 * len(_MARK.findall(line)) > len(_WORD.findall(line))
+
+
+def _headings(lines: list[str]) -> set[int]:
+    """Lines at the edges of a page or unit that are short, end no sentence and begin in upper case or hold a page number: running headers, footers, headings."""
+    wide, n = max(map(len, lines)), len(lines)
+    edge = [i for i in range(n) if i < EDGE_LINES or n - 1 - i < EDGE_LINES]
+    return {i for i in edge if 4 * len(lines[i]) < 3 * wide and not _ENDS.search(lines[i]) and lines[i][-1] not in "-\u2010\u00ad,;" and (not lines[i][0].islower() or _PAGE_NO.search(lines[i]))}
+
+
 def sentences(text: str) -> list[str]:
-    """Sentences of the running text: without code, log and table lines, headings, address lines and bare references.
+    """Sentences of the running text: without code, log and table lines, headings, running headers and footers, address lines and bare references.
 
     Lines of one paragraph are joined, at a hyphen without a blank.
     """
     out: list[str] = []
-    for block in re.split(r"\n\s*\n", text.replace("\r\n", "\n").replace("\r", "\n")):
-        lines = [x.strip() for x in block.split("\n") if x.strip()]
-        runs: list[list[str]] = [[]]
-        for x in lines:
-            if _NOT_TEXT.search(x) or not _WORD.search(x):
-                runs.append([])
-            else:
-                runs[-1].append(x)
-        for run in runs:
-            if run:
-                for s in _SPLIT.split(" ".join(_JOIN.sub("", "\n".join(run)).split())):
-                    if s and _is_running(s):
-                        out.append(s)
+    lines = [x.strip() for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
+    full = [i for i, x in enumerate(lines) if x]
+    aside = {full[i] for i in _headings([lines[i] for i in full])} if len(full) > 1 else set()
+    run: list[str] = []
+    for i, x in enumerate([*lines, ""]):
+        if x and i not in aside and _WORD.search(x) and not _is_code(x):
+            run.append(x)
+        elif run:
+            for s in _SPLIT.split(" ".join(_JOIN.sub("", "\n".join(run)).split())):
+                if s and _is_running(s):
+                    out.append(s)
+            run = []
     return out
 
 
@@ -98,21 +119,21 @@ def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     Names of files, numbers and everything that is no letter are blanks; letters are in lower case.
     """
-    clean = [" " + " ".join(_STRIP.sub(" ", t).split()).lower() + " " for t in texts]
+    clean = [f" {' '.join(_WORD.findall(t) if not _NO_WORD.search(t) else _STRIP.sub(' ', t).split()).lower()} " for t in texts]
     size = np.array([len(c) for c in clean], dtype=np.int64)
     codes = np.frombuffer("".join(clean).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     of = np.repeat(np.arange(len(texts)), size)
     all_b, all_of = [], []
-    for n in ORDERS:
+    h = np.zeros(len(codes), dtype=np.uint64)
+    for n in range(1, max(ORDERS) + 1):  # the hash of n characters goes on from that of n - 1
         if len(codes) < n:
-            continue
-        h = np.full(len(codes) - n + 1, n, dtype=np.uint64)
-        for k in range(n):
-            h = (h ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        inside = of[: len(h)] == of[n - 1 :]
-        all_b.append((h[inside] >> np.uint64(24)).astype(np.int64) & (BUCKETS - 1))
-        all_of.append(of[: len(h)][inside])
+            break
+        h = (h[: len(codes) - n + 1] ^ codes[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        if n in ORDERS:
+            inside = of[: len(h)] == of[n - 1 :]
+            all_b.append((h[inside] >> np.uint64(24)).astype(np.int64) & (BUCKETS - 1))
+            all_of.append(of[: len(h)][inside])
     return (np.concatenate(all_b), np.concatenate(all_of)) if all_b else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
@@ -143,18 +164,53 @@ def score(b: np.ndarray, of: np.ndarray, n: int, logp: np.ndarray) -> np.ndarray
     return out
 
 
-def classify(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best language, margin to the second in nats, and a confidence in 0..1, of each text."""
+def classify(texts: list[str], logp: np.ndarray, temperature: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best language, margin to the second in nats, and a confidence in 0..1, of each text.
+
+    N-grams of one text depend on each other, so their evidence counts like that of the root of their number; ``temperature`` scales
+    it to what held-out sentences bear out.
+    """
     b, of = hashed(texts)
     s = score(b, of, len(texts), logp)
     order = np.sort(s, axis=1)
-    grams = np.maximum(np.bincount(of, minlength=len(texts)), 1)
-    soft = np.exp((s - s.max(axis=1, keepdims=True)) / np.sqrt(grams)[:, None])
+    soft = np.exp((s - s.max(axis=1, keepdims=True)) / (temperature * np.sqrt(_grams(of, len(texts))))[:, None])
     return s.argmax(axis=1), order[:, -1] - order[:, -2], soft.max(axis=1) / soft.sum(axis=1)
 
 
-def train(units: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Fits on at most ``rows`` rows of each language; the sample is drawn by hash of the key from all labelled rows."""
+def _grams(of: np.ndarray, n: int) -> np.ndarray:
+    return np.maximum(np.bincount(of, minlength=n), 1)
+
+
+#: Temperatures tried, coldest first.
+TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0)
+
+
+def calibrate(texts: list[str], labels: list[str], parts: int = 5) -> float:
+    """The temperature under which sentences that were held out are likeliest, a fifth of them at a time left out of the fit.
+
+    Held-out sentences whose label the fit contradicts by a wide margin carry a wrong label and are left out, as in :func:`fit`.
+    """
+    if len(texts) < 50:
+        return 1.0
+    y = np.array([LANGUAGES.index(x) for x in labels])
+    loss = np.zeros(len(TEMPERATURES))
+    for held in range(parts):
+        out = np.arange(len(texts)) % parts == held
+        logp = fit([t for t, o in zip(texts, out, strict=True) if not o], [x for x, o in zip(labels, out, strict=True) if not o])
+        b, of = hashed([t for t, o in zip(texts, out, strict=True) if o])
+        n = int(out.sum())
+        s = score(b, of, n, logp)
+        own = s[np.arange(n), y[out]]
+        fair = s.max(axis=1) - own < 4 * SENTENCE_MARGIN
+        z = (s - s.max(axis=1, keepdims=True)) / np.sqrt(_grams(of, n))[:, None]
+        for i, t in enumerate(TEMPERATURES):
+            x = z[fair] / t
+            loss[i] += (np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(x)), y[out][fair]]).sum()
+    return TEMPERATURES[int(loss.argmin())]
+
+
+def labelled_sentences(units: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
+    """Sentences and labels of at most ``rows`` rows of each language; the sample is drawn by hash of the key from all labelled rows."""
     own = units.select(F.col(key).alias("k"), label_code(F.col(label)).alias("lang"), F.col(text).alias("text")).where("lang is not null and length(text) >= 40")
     counts = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}
     u = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
@@ -170,51 +226,78 @@ def train(units: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_
             for s in sentences(r.text):
                 texts.append(s)
                 labels.append(r.lang)
-    return fit(texts, labels)
-
+    return texts, labels
 
-def segments(units: DataFrame, logp: np.ndarray, key: str = "id", text: str = "unit_text") -> DataFrame:
-    """``key, segment_no, segment, lang, letters, margin, confidence``: the sentences of each unit's running text.
 
-    Null, blank and other units without running text have no segments.
+def train(units: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> np.ndarray:
+    """Fits on the sentences of :func:`labelled_sentences`."""
+    return fit(*labelled_sentences(units, key, text, label, rows))
+
+
+def _runs(langs: list[str], enough: list[bool]) -> list[tuple[int, int, str]]:
+    """``(first, end, language)`` of runs of successive sentences; a sentence too short to tell goes with the one before, or else after."""
+    named = [x if e else None for x, e in zip(langs, enough, strict=True)]
+    if not any(named):
+        named = langs
+    last = next(x for x in named if x)
+    runs: list[tuple[int, int, str]] = []
+    for i, x in enumerate(named):
+        last = x or last
+        if runs and runs[-1][2] == last:
+            runs[-1] = (runs[-1][0], i + 1, last)
+        else:
+            runs.append((i, i + 1, last))
+    return runs
+
+
+def segments(units: DataFrame, logp: np.ndarray, key: str = "id", text: str = "unit_text", temperature: float = 1.0) -> DataFrame:
+    """``key, segment_no, segment, lang, sentences, letters, margin, confidence``: the stretches of each unit's running text in one language.
+
+    ``sentences`` counts those that are long and plain enough to make a language (15 letters, 5 of Japanese, and a margin of 6 nats), ``margin`` is that of
+    the plainest, ``confidence`` the mean by letters. Null, blank and other units without running text have no segments.
     """
-    shared = units.sparkSession.sparkContext.broadcast(logp)
+    shared = units.sparkSession.sparkContext.broadcast((logp, temperature))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for lo in range(0, big.num_rows, 1000):
                 b = big.slice(lo, 1000)
-                keys, no, texts = [], [], []
+                texts, bounds = [], []
                 for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for i, s in enumerate(sentences(t), 1):
-                        keys.append(k)
-                        no.append(i)
-                        texts.append(s)
-                if texts:
-                    best, margin, sure = classify(texts, shared.value)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys, b.schema.field(0).type), pa.array(no, pa.int32()), pa.array(texts, pa.string()),
-                            pa.array([LANGUAGES[i] for i in best], pa.string()), pa.array([letters_of(s) for s in texts], pa.int32()),
-                            pa.array(margin, pa.float64()), pa.array(sure, pa.float64()),
-                        ],
-                        [key, "segment_no", "segment", "lang", "letters", "margin", "confidence"],
-                    )
+                    own = sentences(t)
+                    if own:
+                        bounds.append((k, len(texts), len(texts) + len(own)))
+                        texts += own
+                if not texts:
+                    continue
+                best, margin, sure = classify(texts, *shared.value)
+                langs = [LANGUAGES[i] for i in best]
+                letters = [letters_of(s) for s in texts]
+                enough = [n >= (5 if x == "ja" else SENTENCE_LETTERS) and m >= SENTENCE_MARGIN for n, x, m in zip(letters, langs, margin.tolist(), strict=True)]
+                rows = []
+                for k, i, j in bounds:
+                    for no, (f, e, lang) in enumerate(_runs(langs[i:j], enough[i:j]), 1):
+                        f, e = i + f, i + e
+                        n = sum(letters[f:e])
+                        conf = sum(c * w for c, w, x in zip(sure[f:e].tolist(), letters[f:e], langs[f:e], strict=True) if x == lang)
+                        told = sum(w for w, x in zip(letters[f:e], langs[f:e], strict=True) if x == lang)
+                        rows.append((k, no, " ".join(texts[f:e]), lang, sum(enough[f:e]), n, float(margin[f:e].max()), conf / told if told else 0.0))
+                cols = list(zip(*rows, strict=True))
+                kinds = [b.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [key, "segment_no", "segment", "lang", "sentences", "letters", "margin", "confidence"])
 
     kind = units.schema[key].dataType.simpleString()
     own = units.where(F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")).select(key, text)
-    return spread(own).mapInArrow(run, f"{key} {kind}, segment_no int, segment string, lang string, letters int, margin double, confidence double")
+    return spread(own).mapInArrow(run, f"{key} {kind}, segment_no int, segment string, lang string, sentences int, letters int, margin double, confidence double")
 
 
 def units_by_language(parts: DataFrame, key: str = "id") -> DataFrame:
     """``key, lang, sentences, letters, confidence`` for each language that a whole sentence of a unit is in.
 
-    Sentences with fewer than 15 letters (5 of Japanese) or a small margin make no language. Units with
-    fewer than 40 letters of running text have none.
+    Units with fewer than 40 letters of running text have none. ``confidence`` is how sure the language of those letters is.
     """
-    enough = (F.col("letters") >= F.when(F.col("lang") == "ja", 5).otherwise(SENTENCE_LETTERS)) & (F.col("margin") >= SENTENCE_MARGIN)
     per = parts.groupBy(key, "lang").agg(
-        F.sum(F.when(enough, 1).otherwise(0)).alias("sentences"),
+        F.sum("sentences").alias("sentences"),
         F.sum("letters").alias("letters"),
         (F.sum(F.col("confidence") * F.col("letters")) / F.sum("letters")).alias("confidence"),
     )
@@ -222,6 +305,15 @@ def units_by_language(parts: DataFrame, key: str = "id") -> DataFrame:
     return whole.select(key, F.explode("_l").alias("l")).select(key, "l.*").where("sentences > 0")
 
 
+def main_language(langs: DataFrame, key: str = "id") -> DataFrame:
+    """``key, lang, confidence, languages``: the language with the most letters of each unit, how sure it is, and how many there are.
+
+    The confidence is that of the language times its share of the letters, since in a mixed text it is only part of the answer.
+    """
+    best = langs.groupBy(key).agg(F.max(F.struct("letters", "lang", "confidence")).alias("b"), F.sum("letters").alias("all"), F.count("*").alias("languages"))
+    return best.select(key, "b.lang", (F.col("b.confidence") * F.col("b.letters") / F.col("all")).alias("confidence"), "languages")
+
+
 def relabelled(units: DataFrame, langs: DataFrame, key: str = "id", label: str = "unit_language") -> DataFrame:
     """``key, lang`` of the units whose label is missing, wrong or stands for one of several languages.
 

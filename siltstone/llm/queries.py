@@ -87,21 +87,30 @@ def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 def _segments(units: DataFrame) -> DataFrame:
     once = units.select("id", "unit_text", "unit_language")
-    return language.segments(once, language.train(once, "id", "unit_text", "unit_language"))
+    taught = language.labelled_sentences(once, "id", "unit_text", "unit_language")
+    return language.segments(once, language.fit(*taught), temperature=language.calibrate(*taught))
+
+
+def _languages(units: DataFrame) -> DataFrame:
+    return language.units_by_language(_segments(units).drop("segment").distinct())
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     units = read(spark, d, "content_units")
-    langs = language.units_by_language(_segments(units).drop("segment").distinct())
-    return language.relabelled(units, langs).select(F.col("id").alias("unit_id"), "lang")
+    return language.relabelled(units, _languages(units)).select(F.col("id").alias("unit_id"), "lang")
+
+
+def p6_units(spark: SparkSession, d: str) -> DataFrame:
+    """The language of each unit with running text and how sure it is."""
+    return language.main_language(_languages(read(spark, d, "content_units"))).withColumnRenamed("id", "unit_id")
 
 
 def p6_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Language and confidence of each segment of every unit."""
-    return _segments(read(spark, d, "content_units")).withColumnRenamed("id", "unit_id").distinct()
+    """Language and confidence of each stretch of every unit that is in one language."""
+    return _segments(read(spark, d, "content_units")).withColumnRenamed("id", "unit_id").dropDuplicates(["unit_id", "segment_no"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_restored, p6_found, p6_segments, p3_found, p3_paragraphs)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_restored, p6_found, p6_units, p6_segments, p3_found, p3_paragraphs)}
 
 _WHITE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||chr(8232)||chr(8233)||chr(8239)||chr(8287)||chr(12288)||" + "||".join(f"chr({c})" for c in range(0x2000, 0x200B))
 

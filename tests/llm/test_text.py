@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from siltstone.llm import encoding, language, scans
@@ -228,3 +231,46 @@ def test_lines_of_scanned_pages(spark, book):
     assert "archlve" not in text and "Report on Depot" not in text and "- 21 -" not in text
     assert scans.repaired_lines(u.limit(0), ln).count() == 0
     assert scans.repaired_lines(u, ln.limit(0)).count() == 0
+
+
+def test_running_headers_make_no_language_and_single_marks_no_code():
+    page = "Field Results\n\nMinutes of the Draijes Board\nmen gemäß der neuen Dienstanweisung. Im früheren Güterbahnhof liegt das\nVerzeichnis der Anlagen por(ie und die Liste der Ordner. Für die\nminutes of the draijes board | 31"
+    got = language.sentences(page)
+    assert not any("raijes" in s or "Field" in s for s in got) and any("por(ie" in s for s in got)
+    assert language.sentences("x = load(path);\nif (x) { run(x); }\nname | size | state") == []
+
+
+def test_segments_are_stretches_in_one_language(spark):
+    from siltstone.llm.language import LANGUAGES, _runs
+
+    assert _runs(["en", "de", "en", "fr", "fr"], [True, False, True, True, True]) == [(0, 3, "en"), (3, 5, "fr")]
+    assert _runs(["en", "de"], [False, True]) == [(0, 2, "de")] and _runs(["pl"], [False]) == [(0, 1, "pl")]
+    assert len(LANGUAGES) == 10
+
+
+def test_confidence_is_calibrated():
+    """Of short pieces of held-out sentences, those given a confidence of p are right p of the time, within a tenth."""
+    d = "/root/testdata/sf0.1/content_units.parquet"
+    if not os.path.exists(d):
+        pytest.skip("no test data")
+    rows = pd.read_parquet(d, columns=["id", "unit_text", "unit_language"]).dropna().drop_duplicates("id")
+    names = {n: code for code, own in language.NAMES.items() for n in own}
+    texts, labels = [], []
+    for t, lab in zip(rows.unit_text, rows.unit_language.str.strip().str.lower(), strict=True):
+        if lab in names:
+            own = language.sentences(t)
+            texts += own
+            labels += [names[lab]] * len(own)
+    rng = np.random.default_rng(5)
+    pick = rng.permutation(len(texts))[:12000]
+    texts, labels = [texts[i] for i in pick], [labels[i] for i in pick]
+    whole = language.fit(texts, labels)
+    right = language.classify(texts, whole)[0] == np.array([language.LANGUAGES.index(x) for x in labels])
+    texts, labels = [t for t, r in zip(texts, right, strict=True) if r], [x for x, r in zip(labels, right, strict=True) if r]
+    cut = len(texts) // 2
+    logp, temperature = language.fit(texts[:cut], labels[:cut]), language.calibrate(texts[:cut], labels[:cut])
+    short = [t[: rng.integers(4, 10)] if x == "ja" else " ".join(t.split()[: rng.integers(1, 5)]) for t, x in zip(texts[cut:], labels[cut:], strict=True)]
+    best, _, sure = language.classify(short, logp, temperature)
+    good = best == np.array([language.LANGUAGES.index(x) for x in labels[cut:]])
+    off = sum(abs(sure[q].mean() - good[q].mean()) * q.mean() for lo in np.arange(0, 1, 0.1) if (q := (sure >= lo) & (sure < lo + 0.1 + (lo > 0.85))).any())
+    assert off < 0.05, off
