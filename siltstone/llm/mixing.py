@@ -7,7 +7,9 @@ takes complete epochs first (each document once per epoch, at most the permitted
 repeats) and then the fraction that is left, in key order.
 
 The running sums need no sort of a whole source: keys fall into ranges, the
-ranges' token sums are added up first, and each range is sorted on its own.
+ranges' token sums are added up first, and each range is sorted on its own. A key's range is its place in the
+distribution that the source's weights give (a mixture of exponentials), so ranges hold alike many documents
+however many there are.
 """
 
 from __future__ import annotations
@@ -70,6 +72,24 @@ def budgets(docs: DataFrame, mixes: DataFrame) -> DataFrame:
     return x.withColumn("fraction", F.when((F.col("available") > 0) & ~capped, F.col("budget") - F.col("epochs") * F.col("available")).otherwise(0.0))
 
 
+def key_shares(docs: DataFrame) -> DataFrame:
+    """``source, ranges, shares``: how many ranges a source's keys are cut into, and its weights as ``(weight, share)`` in bands.
+
+    Bands are a sixteenth of a natural logarithm wide, and weights lie in 0.05..1, so a source has at most some fifty (weights below a
+    millionth count as that, which bounds the bands of any others).
+    """
+    band = F.floor(F.log(F.greatest("weight", F.lit(1e-6))) * 16)
+    per = docs.groupBy("source", band.alias("band")).agg(F.count("*").alias("n"), F.avg(F.greatest("weight", F.lit(1e-6))).alias("w"))
+    all_ = per.groupBy("source").agg(F.sum("n").alias("rows"), F.sort_array(F.collect_list(F.struct("w", "n"))).alias("bands"))
+    shares = F.transform("bands", lambda x: F.struct(x["w"].alias("w"), (x["n"] / F.col("rows")).alias("share")))
+    return all_.select("source", F.greatest(F.ceil(F.col("rows") / RANGE_ROWS), F.lit(1)).alias("ranges"), shares.alias("shares"))
+
+
+def share_below(k: Column, shares: Column) -> Column:
+    """The expected share of a source's documents with a key up to ``k``: it rises with the key and is spread evenly over 0..1."""
+    return F.aggregate(shares, F.lit(0.0), lambda acc, x: acc + x["share"] * (1 - F.exp(-k * x["w"])))
+
+
 def draw(spark: SparkSession, docs: DataFrame, mixes: DataFrame, key: str = "doc_id", seed: int = 7) -> DataFrame:
     """``mix_id, source, key, copies, tokens`` of every document that a mix takes.
 
@@ -80,12 +100,10 @@ def draw(spark: SparkSession, docs: DataFrame, mixes: DataFrame, key: str = "doc
     """
     own = docs.where("source is not null and tokens > 0").select(key, "source", "tokens", "weight")
     k = -F.log(uniform(F.col(key), seed)) / F.greatest("weight", F.lit(1e-6))
-    sized = own.groupBy("source").agg(F.count("*").alias("rows"))
     plan = budgets(docs, mixes)
-    ranges = F.greatest(F.ceil(F.col("rows") / RANGE_ROWS), F.lit(1))
-    # 1 - exp(-key) rises with the key and lies in 0..1: it names the range without a sort
-    ranked = own.withColumn("k", k).join(F.broadcast(sized.join(F.broadcast(mixes.select(source_name(F.col("source")).alias("source")).distinct()), "source")), "source")
-    ranked = ranked.withColumn("range", F.floor((1 - F.exp(-F.col("k"))) * ranges).cast("int"))
+    named = F.broadcast(mixes.select(source_name(F.col("source")).alias("source")).distinct())
+    ranked = own.withColumn("k", k).join(F.broadcast(key_shares(own).join(named, "source")), "source")
+    ranked = ranked.withColumn("range", F.least(F.floor(share_below(F.col("k"), F.col("shares")) * F.col("ranges")), F.col("ranges") - 1).cast("int")).drop("shares", "ranges")
     sums = ranked.groupBy("source", "range").agg(F.sum("tokens").alias("own"))
     before = sums.select("source", "range", (F.sum("own").over(Window.partitionBy("source").orderBy("range")) - F.col("own")).alias("before"))
     w = Window.partitionBy("source", "range").orderBy("k", key).rowsBetween(Window.unboundedPreceding, 0)

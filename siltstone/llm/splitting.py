@@ -48,6 +48,25 @@ def cut_pattern(size: Column) -> Column:
     return F.concat(F.lit(r"(?s).{1,"), n, F.lit(r"}\z"), *strong, F.lit("|.{1,"), n, F.lit(r"}(?<=\s)|.{1,"), n, F.lit(r"}(?!\p{M})|.{1,"), n, F.lit("}"))
 
 
+def running(lengths: Column, block: int = 64) -> Column:
+    """Running sums of an array, in blocks, so that a long one isn't copied once for each of its elements."""
+    none = F.array().cast("array<int>")
+
+    def sums(x: Column) -> Column:
+        return F.aggregate(x, none, lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
+
+    def of(n: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / block).cast("int")), lambda b: sums(F.slice(n, b * block + 1, block)))
+
+        def shifted(own: Column) -> Column:
+            before = sums(F.transform(own, lambda x: F.element_at(x, F.lit(-1))))
+            return let(before, lambda at: F.flatten(F.transform(own, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda y: y + F.get(at, i - 1))))))
+
+        return F.when(F.size(n) > 0, let(blocks, shifted)).otherwise(none)
+
+    return let(lengths, of)
+
+
 def split_items(items: DataFrame, text: str = "text", limit: str = "limit", overlap_units: str = "overlap_units") -> DataFrame:
     """Adds ``pieces``: an array of ``(piece_no, start, core_length, overlap_length, piece_text)``.
 
@@ -59,40 +78,47 @@ def split_items(items: DataFrame, text: str = "text", limit: str = "limit", over
     No piece exceeds the limit. Null and blank texts have no pieces.
     """
     room = F.when(F.col(overlap_units) > 0, F.floor(F.col(limit) / 4)).otherwise(0).cast("int")
-    none = F.array().cast("array<int>")
 
-    def ends(parts: Column) -> Column:
-        return F.aggregate(parts, none, lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.char_length(p))))
-
-    def piece(t: Column, cores: Column, stop: Column, marks: Column, core: Column, i: Column) -> Column:
-        def over(start: Column) -> Column:
-            near = F.filter(marks, lambda m: (m < start) & (m >= start - room))
-            back = F.substring(t, F.greatest(start - room, F.lit(0)) + 1, F.least(room, start))
-            tail = let(back, lambda b: F.coalesce(F.nullif(F.char_length(F.regexp_replace(b, r"^\S*\s+(?=\S)", "")), F.lit(0)), F.char_length(b)))
-            return F.when((i == 0) | (room == 0), F.lit(0)).otherwise(
-                let(near, lambda n: F.when(F.size(n) > 0, start - F.get(n, F.size(n) - F.least(F.size(n), F.col(overlap_units)))).otherwise(tail))
-            )
-
-        def built(s: Column) -> Column:
-            text_of = F.when(s["over"] == 0, core).otherwise(F.substring(t, s["start"] - s["over"] + 1, s["over"] + F.char_length(core)))
-            return F.struct(
-                (i + 1).cast("int").alias("piece_no"),
-                s["start"].cast("int").alias("start"),
-                F.char_length(core).alias("core_length"),
-                s["over"].cast("int").alias("overlap_length"),
-                text_of.alias("piece_text"),
+    def piece(t: Column, cores: Column, stop: Column, core: Column, i: Column) -> Column:
+        start = F.when(i == 0, F.lit(0)).otherwise(F.get(stop, i - 1))
+        before = F.get(cores, i - 1)
+        # what precedes the cut: nearly always the end of the core before; only after a very short core it is sought in the text
+        back = F.when(F.char_length(before) >= room, F.right(before, room)).otherwise(F.substring(t, F.greatest(start - room, F.lit(0)) + 1, F.least(room, start)))
+
+        def over(b: Column) -> Column:
+            known = (start <= room).cast("int")  # the window begins where the text does, and so does a sentence
+            found = F.regexp_extract_all(b, F.lit(_SENTENCES), F.lit(0))
+
+            def of(parts: Column) -> Column:
+                # the first part of a window inside the text may have lost its beginning
+                whole = F.slice(parts, 2 - known, F.greatest(F.size(parts) - 1 + known, F.lit(0)))
+                last = let(F.size(whole), lambda n: F.slice(whole, F.greatest(n - F.col(overlap_units), F.lit(0)) + 1, F.col(overlap_units)))
+                tail = F.coalesce(F.nullif(F.char_length(F.regexp_replace(b, r"^\S*\s+(?=\S)", "")), F.lit(0)), F.char_length(b))
+                return F.when(F.size(whole) > 0, F.char_length(F.array_join(last, ""))).otherwise(tail)
+
+            return let(found, of)
+
+        def built(b: Column) -> Column:
+            n = F.when((i == 0) | (room == 0), F.lit(0)).otherwise(let(b, over))
+            return let(
+                n,
+                lambda n: F.struct(
+                    (i + 1).cast("int").alias("piece_no"),
+                    start.cast("int").alias("start"),
+                    F.char_length(core).alias("core_length"),
+                    n.cast("int").alias("overlap_length"),
+                    F.when(n == 0, core).otherwise(F.concat(F.right(b, n), core)).alias("piece_text"),
+                ),
             )
 
-        start = F.when(i == 0, F.lit(0)).otherwise(F.get(stop, i - 1))
-        return let(start, lambda st: let(F.struct(st.alias("start"), over(st).alias("over")), built))
+        return let(back, built)
 
     def whole(t: Column) -> Column:
         return F.array(F.struct(F.lit(1).alias("piece_no"), F.lit(0).alias("start"), F.char_length(t).alias("core_length"), F.lit(0).alias("overlap_length"), t.alias("piece_text")))
 
     def cut(t: Column) -> Column:
         cores = F.regexp_extract_all(t, cut_pattern(F.col(limit) - room), F.lit(0))
-        marks = F.when(room > 0, F.concat(F.array(F.lit(0)), ends(F.regexp_extract_all(t, F.lit(_SENTENCES), F.lit(0))))).otherwise(none)
-        return let(cores, lambda c: let(ends(c), lambda e: let(marks, lambda m: F.transform(c, lambda core, i: piece(t, c, e, m, core, i)))))
+        return let(cores, lambda c: let(running(F.transform(c, F.char_length)), lambda e: F.transform(c, lambda core, i: piece(t, c, e, core, i))))
 
     def of(t: Column) -> Column:
         return F.when(F.char_length(t) > F.col(limit), cut(t)).when(F.char_length(t) > 0, whole(t)).otherwise(F.slice(whole(t), 1, 0))
