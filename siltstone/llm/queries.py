@@ -104,6 +104,11 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_passages(read(spark, d, "documents"))
 
 
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every garbled document with its text restored as far as it can be had, and whether all of it could."""
+    return encoding.restored_documents(read(spark, d, "documents"))
+
+
 def _scans(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired_lines(read(spark, d, "content_units"), read(spark, d, "indexed_lines"))
 
@@ -143,7 +148,7 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(read(spark, d, "content_units")).withColumnRenamed("id", "unit_id").dropDuplicates(["unit_id", "segment_no"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p4_rejoined, p7_containers, p7_fill, p7_whole, p8_mixture, p8_shares, p8_kept, p9_found, p9_restored, p6_found, p6_units, p6_segments, p3_found, p3_paragraphs)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pieces, p4_rejoined, p7_containers, p7_fill, p7_whole, p8_mixture, p8_shares, p8_kept, p9_found, p9_restored, p9_documents, p6_found, p6_units, p6_segments, p3_found, p3_paragraphs)}
 
 _WHITE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||chr(8232)||chr(8233)||chr(8239)||chr(8287)||chr(12288)||" + "||".join(f"chr({c})" for c in range(0x2000, 0x200B))
 

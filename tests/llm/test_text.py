@@ -78,6 +78,18 @@ def test_a_passage_is_searched_itself():
     assert encoding._judge(" ".join(many), model, dict(many))[0][1] == " ".join(many).replace("Ã£", "ã")
 
 
+def test_escapes_of_mail_headers_are_no_case_and_losses_are_marked(spark):
+    head = "Subject: =?utf-8?Q?R=C3=A9union_36?= was left undecoded."
+    rows = [(i, t) for i, t in enumerate(["déjà vu, là et à côté"] * 50)] + [(100, head), (101, "d\ufffdj\ufffd vu"), (102, f"{head} lÃ\u00a0 et Ã\u00a0 cÃ´tÃ©"), (103, "Clean é\nvoilÃ\u00a0 dÃ©jÃ\u00a0\nd\ufffdj\ufffd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.passage_no): r for r in encoding.garbled_passages(df).collect()}
+    assert {k[0] for k in got} == {101, 102, 103}
+    assert got[101, 1].steps == "lost" and got[101, 1].restored is None
+    assert got[103, 2].restored == "voilà déjà" and got[103, 3].restored is None
+    whole = {r.doc_id: (r.text, r.whole) for r in encoding.restored_documents(df).collect()}
+    assert whole[103] == ("Clean é\nvoilà déjà\nd\ufffdj\ufffd", False)
+
+
 def test_search_goes_through_a_costlier_state():
     twice = "cafÃƒÂ©"
     model = encoding.Plausibility({t: 1000 for t in encoding.triples(twice)} | {"fé ": 100_000})
