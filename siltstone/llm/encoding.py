@@ -16,9 +16,9 @@ The work is shared out so that each piece is done once:
 2. their character triples give the plausibility model: counts of all triples in a hashed table of fixed size;
 3. every distinct word is searched once; words that another reading makes plainly more
    plausible go into a Bloom filter of fixed size;
-4. a second scan takes the documents with such a word and decides passage by passage: the
-   readings found for its words, and those of a search over the passage itself, compete on the whole passage. A passage is a line,
-   or a sentence of a line that was garbled only in part.
+4. a second scan takes the documents with such a word and decides passage by passage: all
+   readings found for its words compete on the whole passage; unless one of them holds and leaves no suspicious word, the passage
+   itself is searched as well. A passage is a line, or a sentence of a line that was garbled only in part.
 """
 
 from __future__ import annotations
@@ -347,31 +347,42 @@ def _judge(passage: str, model: Plausibility, known: dict[str, tuple]) -> list[t
     words = words_of(passage)
     if not words:
         return []
-    for_steps: dict[tuple, float] = {}
-    for w in set(words):
+
+    def of(w: str) -> tuple[tuple, float]:
         if w not in known:
             if len(known) > 100_000:
                 known.clear()
-            out, steps, cost, start = search(w, model)
-            known[w] = (steps, start - cost)
-        steps, gain = known[w]
-        if steps and suspicious(steps, gain, model.cost(w)):
-            for_steps[steps] = for_steps.get(steps, 0.0) + gain
-    if not any(steps and not _only_unescaped(steps) for steps in for_steps):
+            _, steps, cost, start = search(w, model)
+            known[w] = (steps, start - cost) if suspicious(steps, start - cost, start) else ((), 0.0)
+        return known[w]
+
+    def suspected(text: str) -> bool:
+        return any(steps and not _only_unescaped(steps) for steps, _ in map(of, words_of(text)))
+
+    if not suspected(passage):
         return []
+    for_steps: dict[tuple, float] = {}
+    most = 0.0
+    for steps, gain in map(of, words):
+        if steps:
+            for_steps[steps] = for_steps.get(steps, 0.0) + gain
+            most += gain
     start = model.cost(passage)
+    # no reading of the whole gains more than each word's best, so where that is too little only its parts can be garbled
+    hopeless = most < min(HOLDS_UTF8[1], HOLDS_OTHER[1]) * start and not any(("lost",) in steps for steps in for_steps)
     # unescaping alone may be the result: then the passage holds an escape and nothing garbled
     fits = lambda steps, c, s: _only_unescaped(steps) or holds(steps, c, s)
     best: tuple[float, tuple, str] | None = None
-    for steps in sorted(for_steps, key=lambda s: -for_steps[s]):
+    for steps in sorted(for_steps, key=lambda s: -for_steps[s]) if not hopeless else ():
         out = apply(passage, steps)
         if out is not None and out != passage:
             cost = model.cost(out, best[0] if best else start)
             if fits(steps, cost, start) and cost < (best[0] if best else start):
                 best = (cost, steps, out)
-    out, steps, cost, _ = search(passage, model, fits, best[0] if best else 1e18)
-    if steps:
-        best = (cost, steps, out)
+    if not hopeless and (not best or not _whole(best[2]) or suspected(best[2])):
+        out, steps, cost, _ = search(passage, model, fits, best[0] if best else 1e18)
+        if steps:
+            best = (cost, steps, out)
     parts = _SENTENCE.split(passage)
     if best and not (("lost",) in best[1] and len(parts) > 1):
         return [] if _only_unescaped(best[1]) else [(passage, best[2] if _whole(best[2]) else None, " ".join(">".join(s) for s in best[1]))]
@@ -379,8 +390,7 @@ def _judge(passage: str, model: Plausibility, known: dict[str, tuple]) -> list[t
         return [x for p in parts for x in _judge(p, model, known)]
     # a sentence garbled in part: its words one by one
     for w in dict.fromkeys(words):
-        steps, gain = known.get(w, ((), 0.0))
-        s = model.cost(w)
+        (steps, gain), s = of(w), model.cost(w)
         if steps and holds(steps, s - gain, s) and gain >= 2 * HOLDS_OTHER[0]:
             return [(passage, None, " ".join(">".join(x) for x in steps))]
     return []
