@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from siltstone.llm import encoding, language, scans
+from siltstone.llm import editor, encoding, language, scans
 
 CLEAN = {
     "de": "Die Prüfstelle überträgt das Verzeichnis der Maßnahmen während der Mittagspause für die Geschäftsführung.",
@@ -154,29 +154,50 @@ def test_relabelling(spark):
 # ---------------------------------------------------------------------- scans
 
 
-def test_editor_on_held_out_words():
+#: What the scanner of these tests confuses; the editor isn't told.
+SCANNER = (("c", "e"), ("1", "l"), ("l", "i"), ("0", "o"), ("ri", "n"), ("@", "a"), ("b", "h"), ("rn", "m"), ("+", "t"), ("m", "rn"))
+
+
+def test_editor_learns_the_scanner_and_edits_held_out_words():
     rng = random.Random(9)
-    stems = ["archive", "protocol", "storage", "minutes", "reviewer", "catalogue", "insurance", "turbine", "inspection", "drawings", "delivery", "customs", "declaration", "schedule", "correction", "building", "maintenance", "laboratory", "depot", "harbour"]
+    stems = ["archive", "protocol", "storage", "minutes", "reviewer", "catalogue", "insurance", "turbine", "inspection", "drawings", "delivery", "customs", "declaration", "schedule", "correction", "building", "maintenance", "laboratory", "depot", "harbour", "tarnished", "corner", "furniture", "turnover", "morning", "modern", "summary", "burner"]
     counts = {w: (rng.randint(20, 200), 30) for s in stems for w in (s, s + "s", "re" + s, s + "ing")}
     counts |= {"long-term": (30, 9), "hand-written": (30, 9), "second-floor": (20, 5), "long": (30, 3), "term": (30, 3), "hand": (9, 9), "written": (9, 9)}
-    edit_w, join_w = scans.train_editor(counts, 1500)
-    ed = scans.Editor(scans.Lexicon(counts), scans.Perceptron(edit_w), scans.Perceptron(join_w))
-    hit = wrong = n = 0
-    for w in rng.choices([w for w in counts if "-" not in w], k=300):
-        assert scans._apply(w, ed.word(w)) == w
-        places = [(i, s, t) for s, t in scans.CONFUSIONS for i in range(len(w)) if w.startswith(t, i)]
-        i, s, t = rng.choice(places)
-        bad = w[:i] + s + w[i + len(t) :]
-        if bad in counts:
-            continue
-        n += 1
-        hit += scans._apply(bad, ed.word(bad)) == w
-        wrong += not ed.word(bad)
-    assert hit >= 0.9 * n and wrong <= 0.05 * n
-    assert ed.joins("cata-", "logue") and ed.joins("insur­", "ances.") and not ed.joins("hand-", "written") and not ed.joins("long-", "term.") and not ed.joins("x_ab-", "2914.csv") and not ed.joins("word", "next")
-    assert scans.judge_line(ed, "the arch1ve and cata-", "l0gue", None)[:2] == (True, True)
-    assert scans.judge_line(ed, "l0gue", None, "cata-") == (False, True, "logue")
-    assert scans.judge_line(ed, "GA-5893 k_5.txt 15.5.2024 £49", None, None) == (False, False, "GA-5893 k_5.txt 15.5.2024 £49")
+    spoilt = lambda w: [w[:i] + s + w[i + len(t) :] for s, t in SCANNER for i in range(len(w)) if w.startswith(t, i)]
+    teach = {b for s in stems[::2] for w in (s, s + "s") for b in spoilt(w)} | {"Kleijoth", "veklimar"}
+    channel = editor.learn_channel(sorted(teach), sorted(counts, key=lambda w: -counts[w][0]))
+    assert len(set(SCANNER) & set(channel)) >= len(SCANNER) - 2 and len(channel) <= 2 * len(SCANNER), channel  # a word list this small leaves rare ones out
+    whole = editor.Lexicon(counts)
+    look = lambda wanted: whole
+    edit_w, join_w = editor.train_editor(counts, channel, look, 1500)
+    p, j = editor.Perceptron(edit_w), editor.Perceptron(join_w)
+
+    def best(w: str) -> str:
+        hyps = [(p.score(editor.edit_features(whole, w, [e[:3]], e[3])), e[3]) for e in editor.edits(w, channel)]
+        return max([(0.0, w), *hyps])[1]
+
+    hit = n = 0
+    for s in stems[1::2]:
+        for w in (s, s + "s", "re" + s):
+            assert best(w) == w
+            for seen, printed in channel.keys() & set(SCANNER):
+                bad = w.replace(printed, seen, 1)
+                if bad != w and bad not in counts:
+                    n += 1
+                    hit += best(bad) == w
+    assert hit >= 0.9 * n, (hit, n)
+    joins = lambda a, b: (x := scans.broken_parts(a, b)) is not None and j.score(editor.join_features(whole, x[1].lower(), x[2].lower(), x[0])) > 0
+    assert joins("cata-", "logue") and joins("insur\u00ad", "ances.") and not joins("hand-", "written") and not joins("long-", "term.") and not joins("x_ab-", "2914.csv") and not joins("word", "next")
+
+
+def test_lines_are_put_together_from_their_edits():
+    fixes = {"arch1ve": [(4, "1", "i")]}
+    word = (4, [(5, "0", "o")])  # cata-l0gue
+    assert scans.repair_line("the arch1ve and cata-", fixes, word, None) == (True, "the archive and cata-")
+    assert scans.repair_line("l0gue", fixes, None, word) == (True, "logue")
+    assert scans.repair_line("GA-5893 k_5.txt 15.5.2024 £49", {}, None, None) == (False, "GA-5893 k_5.txt 15.5.2024 £49")
+    assert editor.actions([(0, "ri", "n"), (3, "m", "rn"), (5, "1", "l")]) == ["replace i n", "delete r", "replace m n", "insert r", "replace 1 l"]
+    assert [p for _, p in scans.parts_of("(see)")] == ["see"] and scans.parts_of("por(ie,") == [(0, "por(ie")] and scans.parts_of("GA-5893") == [] and scans.parts_of("l’arch1ve,") == [(0, "l"), (2, "arch1ve")]
 
 
 def test_numbers_of_pages():
