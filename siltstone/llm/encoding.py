@@ -333,7 +333,8 @@ def count_cells(words: DataFrame) -> DataFrame:
             if len(counts) > 200_000:
                 yield send()
                 counts.clear()
-        yield send()
+        if counts:
+            yield send()
 
     return words.mapInPandas(run, "table int, cell int, n long").groupBy("table", "cell").agg(F.sum("n").alias("n"))
 
