@@ -32,7 +32,7 @@ def fuse(candidates: DataFrame, weights: dict[str, float] | None = None) -> Data
     own = candidates.withColumn("_w", w * s)
     per = own.groupBy(F.lower("path").alias("_key")).agg(
         F.min("path").alias("path"), F.sum("_w").alias("score"), F.count_distinct("provider").alias("providers"), F.count("*").alias("hits"),
-        F.max_by("provider_id", F.struct(F.col("score"), (-F.ascii("provider_id")).alias("o"))).alias("best_provider"),
+        F.min(F.struct((-F.coalesce("score", F.lit(float("-inf")))).alias("s"), F.lower("provider_id").alias("o"), "provider_id"))["provider_id"].alias("best_provider"),
     )
     return ranked(per.drop("_key"), [F.desc("score"), F.lower("path")])
 

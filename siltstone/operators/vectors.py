@@ -130,8 +130,11 @@ def _band_values(m: np.ndarray, seed: int) -> np.ndarray:
 def hashed_top_k(vectors: DataFrame, index: DataFrame, query: list[float], k: int, key: str = "id", vector: str = "vector", seed: int = 17, flips: int = 2) -> DataFrame:
     """The k nearest among the vectors that share a band with the query, up to ``flips`` bits apart in it; scored exactly.
 
-    ``index`` comes from :func:`signatures`. If fewer than k candidates share a band, the exact search answers.
+    ``index`` comes from :func:`signatures`. If there are fewer than ``HASHED_FROM`` vectors, or fewer than k candidates share a band, the exact
+    search answers.
     """
+    if index.where("band = 0").limit(HASHED_FROM).count() < HASHED_FROM:
+        return top_k(vectors, query, k, key, vector)
     probes = None
     for b, value in enumerate(_band_values(np.array([query], dtype=np.float64), seed)[0]):
         own = (F.col("band") == b) & F.col("value").isin(*sorted(_near_values(int(value), flips)))
@@ -173,11 +176,14 @@ def file_vectors(chunks: DataFrame, file: str = "file_id", vector: str = "vector
 
 
 def two_level(chunks: DataFrame, query: list[float], files: int = 25, k: int = 50, key: str = "id", file: str = "file_id", vector: str = "vector") -> DataFrame:
-    """The best chunks within the best files, blended 0.8 to 0.2: ``key, file, score``; no file at all: the best chunks anywhere."""
+    """The best chunks within the best files, blended 0.8 to 0.2: ``key, file, score``; where no file or no chunk of one is near, the best chunks anywhere."""
     top = top_k(file_vectors(chunks, file, vector), query, files, file, vector).withColumnRenamed("score", "file_score")
     scored = chunks.select(key, file, cosine(F.col(vector), _literal(query)).alias("s")).where("s > 0")
-    inside = scored.join(top, file).orderBy(F.desc("s"), key).limit(k)
-    return inside.select(key, file, (0.8 * F.col("s") + 0.2 * F.coalesce("file_score", F.lit(0.0))).alias("score"))
+    inside = scored.join(F.broadcast(top), file).orderBy(F.desc("s"), key).limit(k)
+    if inside.isEmpty():
+        return scored.orderBy(F.desc("s"), key).limit(k).select(key, file, F.col("s").alias("score"))
+    blended = inside.select(key, file, (0.8 * F.col("s") + 0.2 * F.col("file_score")).alias("score"))
+    return blended.orderBy(F.desc("score"), key)
 
 
 def stats(vectors: DataFrame, key: str = "id", file: str = "file_id") -> DataFrame:

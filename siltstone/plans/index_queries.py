@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import index, results, search, vectors
+from siltstone.operators import index, results, search, upkeep, vectors
 from siltstone.plans.search_queries import _AS_OF_US, _DAY, AS_OF, FILES_SQL, LINES_SQL
 from siltstone.query import build_query
 from siltstone.runtime import Scratch, read
@@ -121,6 +121,51 @@ _add("root_health", lambda s, d: index.root_health(read(s, d, "index_roots"), in
        CASE WHEN r.location_kind IN ('cloud', 'network', 'removable') THEN r.location_kind WHEN v.usn_supported = 1 THEN 'ntfs-usn' ELSE 'snapshot' END AS strategy, COALESCE(p.n, 0) AS pending, COALESCE(g.bad, 0) AS failures
      FROM (SELECT DISTINCT * FROM index_roots) r LEFT JOIN (SELECT DISTINCT * FROM index_volumes) v ON v.id = r.volume_id LEFT JOIN p ON p.root_path = r.root_path LEFT JOIN g ON g.root_id = r.id""")
 
+_add("index_health", lambda s, d: upkeep.health(read(s, d, "index_roots"), indexed_files(read(s, d, "indexed_files")), read(s, d, "index_volumes"), read(s, d, "pending_changes")),
+     rf"""WITH {_FILES2}, k AS (SELECT DISTINCT id, volume_id, location_kind, regexp_replace(lower(replace(root_path, '/', '\')), '\\+$', '') AS root_key FROM index_roots),
+     p AS (SELECT regexp_replace(lower(replace(root_path, '/', '\')), '\\+$', '') AS root_key, count(DISTINCT id) AS n FROM pending_changes GROUP BY 1),
+     g AS (SELECT root_id, count(*) AS files, count_if(status IN ('error', 'skipped')) AS bad FROM f GROUP BY 1),
+     x AS (SELECT k.id AS root_id, k.root_key, COALESCE(g.files, 0) AS files, COALESCE(p.n, 0) AS queue, COALESCE(g.bad, 0) AS failures, v.id AS vid, v.health, v.journal_id, v.last_committed_usn,
+       CASE WHEN k.location_kind IN ('cloud', 'network', 'removable') THEN k.location_kind WHEN v.usn_supported = 1 THEN 'ntfs-usn' ELSE 'snapshot' END AS strategy
+       FROM k LEFT JOIN (SELECT DISTINCT * FROM index_volumes) v ON v.id = k.volume_id LEFT JOIN p ON p.root_key = k.root_key LEFT JOIN g ON g.root_id = k.id)
+     SELECT root_id, root_key, CASE WHEN queue > 0 THEN 'CatchingUp' WHEN contains(lower(health), 'expired') OR contains(lower(health), 'older than the retained journal') THEN 'JournalExpired'
+       WHEN regexp_matches(lower(health), 'journal (unavailable|changed|was recreated)|newer than the journal cursor|does not expose a supported|usn replay is unavailable') THEN 'JournalUnavailable'
+       WHEN failures >= 25 THEN 'TooManyExtractorFailures' WHEN strategy = 'ntfs-usn' AND (vid IS NULL OR journal_id IS NULL OR COALESCE(last_committed_usn, 0) <= 0) THEN 'NeedsFullScan' ELSE 'Healthy' END AS status, files, queue, failures, strategy FROM x""")
+
+
+def index_health_runtime(spark: SparkSession, d: str) -> DataFrame:
+    """Health with what a running service reports: every state occurs."""
+    roots = read(spark, d, "index_roots")
+    says = {1: "Access denied to folder", 4: "The checkpoint is OLDER than the retained journal", 5: "The journal was recreated", 8: "root validation scan due"}
+    n = F.col("id") % 11
+    detail = F.lit(None).cast("string")
+    for k, text in says.items():
+        detail = F.when(n == k, text).otherwise(detail)
+    runtime = roots.select("root_path", detail.alias("detail"), (n != 2).alias("reachable"), (n == 3).alias("paused"), ((n == 3) | (n == 6)).alias("active"), (n == 9).alias("watching"), F.when(n == 7, "DriftDetected").alias("validation"))
+    none = read(spark, d, "pending_changes").where("id is null")
+    many = indexed_files(read(spark, d, "indexed_files")).withColumn("status", F.when(F.col("root_id") % 11 == 10, "error").otherwise(F.col("status")))
+    return upkeep.health(roots, many, read(spark, d, "index_volumes"), none, runtime).select("root_id", "status", "failures")
+
+
+_add("index_health_runtime", index_health_runtime, f"""WITH {_FILES2}, g AS (SELECT root_id, count_if(status IN ('error', 'skipped') OR root_id % 11 = 10) AS bad FROM f GROUP BY 1),
+  x AS (SELECT DISTINCT r.id, r.id % 11 AS n, COALESCE(g.bad, 0) AS bad, v.health, r.location_kind, v.usn_supported, v.journal_id, v.id AS vid, v.last_committed_usn AS usn FROM index_roots r LEFT JOIN g ON g.root_id = r.id LEFT JOIN (SELECT DISTINCT * FROM index_volumes) v ON v.id = r.volume_id)
+  SELECT id AS root_id, bad AS failures, CASE n WHEN 1 THEN 'AccessDenied' WHEN 2 THEN 'Offline' WHEN 3 THEN 'Paused' WHEN 6 THEN 'CatchingUp' WHEN 4 THEN 'JournalExpired' WHEN 5 THEN 'JournalUnavailable' WHEN 7 THEN 'NeedsFullScan'
+    ELSE CASE WHEN bad >= 25 THEN 'TooManyExtractorFailures' WHEN n = 8 OR location_kind NOT IN ('cloud', 'network', 'removable') AND usn_supported = 1 AND (journal_id IS NULL OR COALESCE(usn, 0) <= 0) THEN 'NeedsFullScan' WHEN n = 9 THEN 'Watching' ELSE 'Healthy' END END AS status FROM x""")
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    have, there = _seen(spark, d)
+    return upkeep.validate(there.withColumn("trouble", F.when(F.col("file_id") % 13 == 0, "locked")), have, error="trouble")
+
+
+_CHECKED = f"""WITH {_FILES2}, c AS (SELECT id AS file_id, arg_max({{'c': created_at}}, indexed_at).c AS created FROM indexed_files GROUP BY id),
+  s AS (SELECT CASE WHEN file_id % 11 = 0 THEN path || '.bak' ELSE path END AS path, file_id, size_bytes + CASE WHEN file_id % 7 = 0 THEN 1 ELSE 0 END AS size_bytes FROM f WHERE file_id % 5 <> 0),
+  x AS (SELECT COALESCE(s.path, f.path) AS path, CASE WHEN s.path IS NULL THEN 'MissingFromDisk' WHEN s.file_id % 13 = 0 THEN 'FailedCheck' WHEN f.path IS NULL THEN 'MissingFromIndex' WHEN s.size_bytes IS DISTINCT FROM f.size_bytes OR f.status = 'indexing' THEN 'ChangedSinceIndex' END AS kind
+    FROM s FULL JOIN f ON lower(s.path) = lower(f.path))"""
+_add("validation_drifts", lambda s, d: _checked(s, d).where("kind is not null"), f"{_CHECKED} SELECT path, kind FROM x WHERE kind IS NOT NULL")
+_add("validation_summary", lambda s, d: upkeep.validation_summary(_checked(s, d)), f"""{_CHECKED} SELECT count_if(kind IS NULL OR kind <> 'MissingFromDisk') AS files_checked, count_if(kind IS NULL) AS files_matched, count_if(kind = 'MissingFromIndex') AS missing_from_index,
+  count_if(kind = 'ChangedSinceIndex') AS changed_since_index, count_if(kind = 'MissingFromDisk') AS missing_from_disk, count_if(kind = 'FailedCheck') AS failed_checks, CASE WHEN count(kind) > 0 THEN 'DriftDetected' ELSE 'Passed' END AS status FROM x""")
+
 # ------------------------------------------------------------------------- results
 
 
@@ -139,6 +184,19 @@ _CAND = f"""{FILES_SQL}, {LINES_SQL}, c AS (SELECT 'metadata' AS provider, path,
 _add("fusion_weighted", lambda s, d: results.fuse(_candidates(s, d), {"metadata": 2.0}), f"WITH {_CAND} SELECT path, CAST(score AS DOUBLE) AS score, providers, hits, best_provider, row_number() OVER (ORDER BY score DESC, lower(path)) AS rank FROM fused")
 
 
+def _tied(spark: SparkSession, d: str) -> DataFrame:
+    """Each document found by four providers, two of them at the best score and alike but for the end of their names."""
+    f = _files(spark, d).select("file_id", "path")
+    ids = F.array(*(F.struct(F.lit(p).alias("provider"), F.lit(i).alias("provider_id"), F.lit(x).alias("add")) for p, i, x in (("regex", "live-regex", 1), ("lexical", "Live-Lexical", 1), ("fuzzy", "live-fuzzy", 0), ("metadata", "indexed", -50))))
+    return f.select("path", "file_id", F.explode(ids).alias("c")).select("c.provider", "c.provider_id", "path", (F.col("file_id") % 40 + F.col("c.add")).cast("double").alias("score"))
+
+
+_add("fusion_ties", lambda s, d: results.fuse(_tied(s, d), {"regex": 0.5}), f"""WITH {FILES_SQL}, c AS (SELECT path, provider, provider_id, CAST(file_id % 40 + x AS DOUBLE) AS score FROM files, (VALUES ('regex', 'live-regex', 1), ('lexical', 'Live-Lexical', 1), ('fuzzy', 'live-fuzzy', 0), ('metadata', 'indexed', -50)) t(provider, provider_id, x)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY score DESC, lower(provider_id)) AS n FROM c),
+  g AS (SELECT min(path) AS path, sum(CASE WHEN provider = 'regex' THEN 0.5 ELSE 1.0 END * CASE WHEN score > 0 THEN score ELSE 1.0 END) AS score, count(DISTINCT provider) AS providers, count(*) AS hits, max(CASE WHEN n = 1 THEN provider_id END) AS best_provider FROM o GROUP BY lower(path))
+  SELECT path, CAST(score AS DOUBLE) AS score, providers, hits, best_provider, row_number() OVER (ORDER BY score DESC, lower(path)) AS rank FROM g""")
+
+
 def rerank_heuristic(spark: SparkSession, d: str) -> DataFrame:
     f = _files(spark, d).groupBy(F.lower("path").alias("_k")).agg(F.max("modified").alias("modified"))
     fused = results.fuse(_candidates(spark, d), {"metadata": 2.0})
