@@ -13,6 +13,7 @@ import time
 import uuid
 from collections.abc import Iterable
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,6 +25,12 @@ def bucket_of(keys: Iterable[str | Column], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def string_bucket(value: str, buckets: int) -> int:
+    """:func:`bucket_of` of a single string, without a job."""
+    h = xxhash.xxh64_intdigest(value.encode("utf-8"), seed=42)
+    return (h - (1 << 64) if h >= 1 << 63 else h) % buckets
+
+
 class SnapshotStore:
     """``profile`` describes what was indexed; a stored schema version that differs is refused.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import index, results, search, upkeep, vectors
+from siltstone.operators.catalogue import FileIndex
 from siltstone.plans.search_queries import _AS_OF_US, _DAY, AS_OF, FILES_SQL, LINES_SQL
 from siltstone.query import build_query
 from siltstone.runtime import Scratch, read
@@ -43,16 +45,65 @@ _add("metadata_token_lookup", lambda s, d: index.lookup(index.metadata_tokens(_f
 _add("content_units_build", lambda s, d: index.content_units(_lines(s, d)), f"WITH {LINES_SQL} SELECT file_id, line_number, 'Text' AS kind, content AS unit_text, sha256(content) AS content_hash, 'line ' || line_number AS locator FROM lines")
 
 
+_BUILT: dict[tuple[str, str], FileIndex] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> FileIndex:
+    """The index of the documents: built once a session and folder of tables, then only read."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        folder = f"{Scratch(spark).base}/index-{uuid.uuid4().hex}"
+        _BUILT[key] = FileIndex(spark, folder, buckets=32).build(_files(spark, d), _lines(spark, d))
+    return _BUILT[key]
+
+
 def indexed_term_search(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d)
-    q = build_query('"query planner" OR (archivist NOT junior)', "boolean")
-    return index.search_indexed(q, lines, index.postings(lines))
+    return stored_index(spark, d).search(build_query('"query planner" OR (archivist NOT junior)', "boolean"))
 
 
 _add("indexed_term_search", indexed_term_search, f"""WITH {LINES_SQL}, t AS (SELECT *, {_TOK.format('content')} AS k FROM lines)
   SELECT file_id, line_number, content FROM t WHERE list_has_all(k, ['query', 'planner']) AND contains(lower(content), 'query planner')
   OR list_contains(k, 'archivist') AND NOT contains(lower(content), 'junior')""")
 
+def _own_paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Files with a path and an identity of their own, and the documents."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    f = _files(spark, d).select("file_id", F.concat("path", F.lit("#"), "file_id").alias("path"), "size_bytes", "created", "modified", "status", "extractor_id", F.lit("1").alias("extractor_version"))
+    return f.withColumn("identity", F.concat(F.lit("v1:"), "file_id")), docs
+
+
+def _changed_index(spark: SparkSession, d: str) -> FileIndex:
+    """An index of four fifths of the documents after upserts, moves and deletes."""
+    f, docs = _own_paths(spark, d)
+    old = F.col("file_id") % 5 != 0
+    own = FileIndex(spark, f"{Scratch(spark).base}/index-{uuid.uuid4().hex}", buckets=8).build(f.where(old), text_lines(docs.where("doc_id % 5 <> 0"), "doc_id"))
+    amended = F.col("doc_id") % 7 == 0
+    # every document is sent again: a seventh with another text, a thirteenth from another path and under another number; the rest is unchanged
+    moved = F.col("file_id") % 13 == 0
+    sent = f.withColumn("size_bytes", F.when(F.col("file_id") % 7 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")))
+    sent = sent.withColumn("path", F.when(moved, F.concat("path", F.lit(".moved"))).otherwise(F.col("path"))).withColumn("file_id", F.when(moved, F.col("file_id") + 1_000_000_000).otherwise(F.col("file_id")))
+    text = docs.withColumn("text", F.when(amended, F.concat(F.col("text"), F.lit("\namended line"))).otherwise(F.col("text"))).withColumn("doc_id", F.when(F.col("doc_id") % 13 == 0, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id")))
+    own.upsert(sent, text_lines(text, "doc_id"))
+    own.delete(f.where("file_id % 11 = 0").select("path"))
+    return own
+
+
+def index_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Files with their lines and tokens after upserts, moves and deletes: what the tables of the index hold, each read for itself."""
+    ix = _changed_index(spark, d)
+    n = ix.lines().groupBy("file_id").agg(F.count("*").alias("lines"))
+    t = ix.store.read("postings").groupBy("file_id").agg(F.count("*").alias("postings"))
+    zero = F.lit(0).cast("bigint")
+    return ix.files().join(n, "file_id", "left").join(t, "file_id", "left").select("file_id", "path", "size_bytes", F.coalesce("lines", zero).alias("lines"), F.coalesce("postings", zero).alias("postings"))
+
+
+_CHANGED = f"""{FILES_SQL}, own AS (SELECT CASE WHEN file_id % 13 = 0 AND file_id % 5 = 0 THEN file_id + 1000000000 ELSE file_id END AS file_id, file_id AS doc_id, path || '#' || file_id || CASE WHEN file_id % 13 = 0 THEN '.moved' ELSE '' END AS path, size_bytes + CASE WHEN file_id % 7 = 0 THEN 1 ELSE 0 END AS size_bytes
+    FROM files WHERE file_id % 11 <> 0 OR file_id % 13 = 0),
+  amended AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || chr(10) || 'amended line' ELSE text END AS text FROM documents)"""
+_add("index_after_changes", index_after_changes, f"""WITH {_CHANGED}, {LINES_SQL.replace('documents', 'amended')}, k AS (SELECT file_id, count(*) AS lines, sum(len(list_distinct({_TOK.format('content')}))) AS postings FROM lines GROUP BY 1)
+  SELECT o.file_id, o.path, o.size_bytes, COALESCE(k.lines, 0) AS lines, CAST(COALESCE(k.postings, 0) AS BIGINT) AS postings FROM own o LEFT JOIN k ON k.file_id = o.doc_id""")
+_add("index_search_after_changes", lambda s, d: _changed_index(s, d).search(build_query("amended AND line", "boolean")), f"WITH {_CHANGED}, {LINES_SQL.replace('documents', 'amended')} SELECT o.file_id, line_number, content FROM lines l JOIN own o ON o.doc_id = l.file_id WHERE contains(lower(content), 'amended') AND contains(lower(content), 'line')")
+
 # --------------------------------------------------------------------------- joins
 
 
