@@ -104,7 +104,8 @@ def _finish(want: frozenset[str]):
         rows = pd.concat(frames, ignore_index=True)
         at: dict[tuple, tuple] = {}
         size: dict[tuple, int] = {}
-        for v, num, parent, name, n, rooted in zip(rows.volume_id, rows.num, rows.parent, rows.item_name, rows.subtree, rows.rooted, strict=True):
+        names = rows.item_name if "path" in want else [None] * len(rows)
+        for v, num, parent, name, n, rooted in zip(rows.volume_id, rows.num, rows.parent, names, rows.subtree, rows.rooted, strict=True):
             at[(v, num)] = (None if rooted or parent is None else (v, parent), name or "")
             size[(v, num)] = int(n)
         waiting = dict.fromkeys(at, 0)
@@ -189,12 +190,12 @@ def hierarchy(items: DataFrame, finish_rows: int = 50_000, want: Iterable[str] =
     """
     spark, want = items.sparkSession, frozenset(want)
     scratch = Scratch(spark)
+    named = ["item_name"] if "path" in want else []
+    items = scratch.keep(items.select("volume_id", "num", "parent", *named))  # read twice: the numbers are not to be parsed twice
     known = items.select("volume_id", F.col("num").alias("parent"), F.lit(True).alias("on_record"))
     rooted = F.col("parent").isNull() | (F.col("parent") == F.col("num")) | F.col("on_record").isNull()
-    named = ["item_name"] if "path" in want or finish_rows else []
     left = scratch.keep(
-        items.select("volume_id", "num", "parent", "item_name")
-        .join(known, ["volume_id", "parent"], "left")
+        items.join(known, ["volume_id", "parent"], "left")
         .select("volume_id", "num", "parent", *named, rooted.alias("rooted"), F.lit(1).cast("bigint").alias("subtree"))
     )
     layers: list[DataFrame] = []
