@@ -187,6 +187,23 @@ def word(data: bytes) -> Iterator[Row]:
                     yield n, text, f"paragraph {n}"
 
 
+def _sheets(z: zipfile.ZipFile, names: list[str]) -> list[tuple[str, str]]:
+    """``(part, name)`` of the sheets in the order of the book: by relationship, or by number where a book has no relationships."""
+    book = [s for s in ET.fromstring(z.read("xl/workbook.xml")).iter() if _local(s.tag) == "sheet"]
+    found = sorted((x for x in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)), key=lambda x: int(re.findall(r"\d+", x)[0]))
+    if "xl/_rels/workbook.xml.rels" not in names:
+        called = [s.get("name", "") for s in book]
+        return list(zip(found, [*called, *found[len(called) :]], strict=False))
+    target = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    out = []
+    for s in book:
+        to = target.get(next((v for k, v in s.attrib.items() if _local(k) == "id"), None))
+        part = None if to is None else to.lstrip("/") if to.startswith("/") else f"xl/{to}"
+        if part in names:
+            out.append((part, s.get("name", "")))
+    return out
+
+
 def excel(data: bytes) -> Iterator[Row]:
     n = 0
     with _archive(data) as z:
@@ -194,9 +211,8 @@ def excel(data: bytes) -> Iterator[Row]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ET.fromstring(z.read("xl/sharedStrings.xml")) if _local(si.tag) == "si"]
-        book = [s.get("name", "") for s in ET.fromstring(z.read("xl/workbook.xml")).iter() if _local(s.tag) == "sheet"]
-        sheets = sorted((x for x in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)), key=lambda x: int(re.findall(r"\d+", x)[0]))
-        for sheet, name in zip(sheets, [*book, *sheets[len(book) :]], strict=False):
+        sheets = _sheets(z, names)
+        for sheet, name in sheets:
             for row in ET.fromstring(z.read(sheet)).iter():
                 if _local(row.tag) != "row":
                     continue

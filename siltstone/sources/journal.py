@@ -60,25 +60,46 @@ def build_record(file_ref: int, parent_ref: int, usn: int, ts: datetime, reason:
     return body.ljust(length, b"\0")
 
 
+#: Bytes that hold a first record whatever its name.
+_HEAD = 4096
+
+
 class _Reader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.most = int(options.get("maxrecords", options.get("maxRecords", "512")))
+        self.starts: dict[str, int] = {}
         self.first = int(options.get("startusn", options.get("startUsn", "-1")))
 
     def initialOffset(self) -> dict:
         return {"usn": self.first}
 
-    def _after(self, usn: int, up_to: int | None = None) -> list[tuple]:
-        rows = []
-        for f in sorted(glob.glob(os.path.join(self.path, "*.usn"))):
+    def _files(self) -> list[tuple[int, str]]:
+        """``(first number, file)`` in order; only the head of a file that is new or has grown from nothing is read."""
+        for f in glob.glob(os.path.join(self.path, "*.usn")):
+            if f not in self.starts:
+                with open(f, "rb") as h:
+                    first = next(iter(parse_records(h.read(_HEAD))), None)
+                if first is not None:
+                    self.starts[f] = first[2]
+        return sorted((usn, f) for f, usn in self.starts.items() if os.path.exists(f))
+
+    def _after(self, usn: int, up_to: int | None = None, most: int | None = None) -> list[tuple]:
+        """Records above ``usn``: of files whose numbers follow each other only those that can hold one are read."""
+        files = self._files()
+        rows: list[tuple] = []
+        for (first, f), (following, _) in zip(files, [*files[1:], (None, None)], strict=True):
+            if following is not None and following <= usn + 1 or up_to is not None and first > up_to:
+                continue
+            if most is not None and len(rows) >= most and first > rows[-1][2]:
+                break
             with open(f, "rb") as h:
                 rows += [r for r in parse_records(h.read()) if r[2] > usn and (up_to is None or r[2] <= up_to)]
-        rows.sort(key=lambda r: r[2])
-        return rows
+            rows.sort(key=lambda r: r[2])
+        return rows[:most]
 
     def read(self, start: dict):
-        rows = self._after(start["usn"])[: self.most]
+        rows = self._after(start["usn"], most=self.most)
         return iter(rows), {"usn": rows[-1][2] if rows else start["usn"]}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:

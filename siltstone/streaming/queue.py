@@ -10,10 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltstone.operators.store import SnapshotStore, bucket_of
+from siltstone.runtime import Scratch
+
 DEBOUNCE, ROOT_DEBOUNCE = "2 seconds", "5 seconds"
 ROOT_KINDS = ("refresh", "semantic")
 
@@ -91,14 +94,15 @@ def resume_point(volume: dict, checkpoint: dict | None) -> str:
 _ITEM = "root string, path string, kind string, priority int, events long"
 
 
-def stateful_queue(events: DataFrame, quiet_ms: int = 2000) -> DataFrame:
-    """The queue as a stream with state per root: items come out once the root has been quiet; a refresh drops and blocks the root's other items.
+def stateful_queue(events: DataFrame, quiet_ms: int = 2000, most_ms: int = 20_000) -> DataFrame:
+    """The queue as a stream with state per root: items come out once the root has been quiet, or has been held for ``most_ms``; a refresh drops and
+    blocks the root's other items. For roots with very many items use :class:`PendingQueue`, which keeps each item for itself.
 
     ``events`` is a stream with ``root, path, kind, priority, ts``; the state of a root is what is pending in it and is dropped when it is emitted.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = dict(state.get[0]) if state.exists else {}
+        pending, since = (dict(state.get[0]), state.get[1]) if state.exists else ({}, None)
         if not state.hasTimedOut:
             for f in frames:
                 for path, kind, priority in zip(f["path"], f["kind"], f["priority"], strict=True):
@@ -109,12 +113,77 @@ def stateful_queue(events: DataFrame, quiet_ms: int = 2000) -> DataFrame:
                         pending = {k: v for k, v in pending.items() if k == at}
                     old = pending.get(at)
                     pending[at] = (kind, min(int(priority), old[1]) if old else int(priority), (old[2] if old else 0) + 1)
-            state.update(([(k, v) for k, v in pending.items()],))
-            state.setTimeoutDuration(quiet_ms)
-            return
-        state.remove()
+            now = state.getCurrentProcessingTimeMs()
+            since = now if since is None else since
+            if now - since < most_ms:
+                state.update(([(k, v) for k, v in pending.items()], since))
+                state.setTimeoutDuration(quiet_ms)
+                return
+        if state.exists:
+            state.remove()
         rows = [(key[0], None if k.startswith("\0") else k, v[0], v[1], v[2]) for k, v in pending.items()]
         yield pd.DataFrame(rows, columns=["root", "path", "kind", "priority", "events"])
 
-    kept = "items array<struct<k:string,v:struct<kind:string,priority:int,events:long>>>"
+    kept = "items array<struct<k:string,v:struct<kind:string,priority:int,events:long>>>, since long"
     return events.groupBy("root").applyInPandasWithState(step, _ITEM, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+class PendingQueue:
+    """The pending items on disk, each for itself: they outlive a restart, and a root with very many items is spread over buckets.
+
+    Use ``stream.writeStream.foreachBatch(queue.add)``; work off ``due`` and call ``done`` with what was worked off.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, quiet_s: float = 2.0, buckets: int = 64):
+        self.spark, self.quiet_s, self.store = spark, quiet_s, SnapshotStore(spark, folder, buckets)
+
+    def items(self) -> DataFrame:
+        """``key, root, path, kind, priority, first_ts, last_ts, due, events`` of all that is pending."""
+        own = self.store.read("items") if self.store.has("items") else self.spark.createDataFrame([], _PENDING)
+        micros = F.unix_micros("last_ts") + int(self.quiet_s * 1_000_000)
+        return own.withColumn("due", F.timestamp_micros(micros))
+
+    def _touched(self, keys: DataFrame) -> set[int]:
+        return {r[0] for r in keys.select(bucket_of(["key"], self.store.buckets())).distinct().collect()}
+
+    def _old(self, touched: set[int]) -> DataFrame:
+        return self.store.read("items", touched) if self.store.has("items") else self.spark.createDataFrame([], _PENDING)
+
+    def add(self, events: DataFrame, batch_id: int) -> None:
+        """Merges ``root, path, kind, priority, ts``; a batch that was added before is passed over. The last event of an item names its kind."""
+        m = self.store.manifest()
+        if m and m["profiles"].get("batch", -1) >= batch_id:
+            return
+        scratch = Scratch(self.spark)
+        one = events.where("root is not null and kind is not null and ts is not null").withColumn("key", item_key()).withColumn("path", F.when(~F.col("kind").isin(*ROOT_KINDS), F.col("path")))
+        new = scratch.keep(one.select("key", "root", "path", "kind", "priority", F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), F.lit(1).cast("bigint").alias("events")))
+        at = self._touched(new)
+        both = self._old(at).unionByName(new)
+        merged = both.groupBy("key").agg(F.max(F.struct("last_ts", "kind", "root", "path")).alias("l"), F.min("priority").alias("priority"), F.min("first_ts").alias("first_ts"), F.sum("events").alias("events"))
+        rows = merged.select("key", "l.root", "l.path", "l.kind", "priority", "first_ts", "l.last_ts", "events")
+        self.store.commit({}, {"batch": batch_id}, keyed={"items": (rows, ["key"], at)})
+
+    def due(self, now: Column, limit: int | None = None) -> DataFrame:
+        """Items that have been quiet, in order, without those that a pending refresh of their root makes superfluous."""
+        return dequeue(subsume(self.items()), now, limit)
+
+    def done(self, items: DataFrame) -> None:
+        """Takes out items as they were when they came due, and what a refresh among them stands for; an item with a later event stays."""
+        scratch = Scratch(self.spark)
+        did = scratch.keep(items.select("key", "root", "kind", "last_ts", "due"))
+        fresh = did.where("kind = 'refresh'").groupBy("root").agg(F.max("due").alias("_until"))
+        hidden = self.items().join(fresh, "root").where((F.col("kind") != "refresh") & (F.col("first_ts") <= F.col("_until"))).select("key", "last_ts")
+        out = scratch.keep(did.select("key", "last_ts").unionByName(hidden))
+        at = self._touched(out)
+        if at:
+            gone = out.groupBy("key").agg(F.max("last_ts").alias("_done"))
+            rest = self._old(at).join(gone, "key", "left").where(F.col("_done").isNull() | (F.col("last_ts") > F.col("_done"))).drop("_done")
+            self.store.commit({}, keyed={"items": (rest, ["key"], at)})
+
+    def clear_root(self, root: str) -> None:
+        rows = self.items().where(F.col("root") != root).drop("due")
+        if self.store.has("items"):
+            self.store.commit({}, keyed={"items": (rows, ["key"], None)})
+
+
+_PENDING = "key string, root string, path string, kind string, priority int, first_ts timestamp, last_ts timestamp, events bigint"

@@ -44,3 +44,32 @@ def test_upsert_move_delete(spark, tmp_path):
     assert find("moved") == [] and ix.store.read("postings").where(F.col("file_id") == 1).count() == 0
     assert ix.delete(spark.createDataFrame([], "path string")) == 0 and ix.upsert(files().limit(0), lines().limit(0)) == 0
     assert ix.store.manifest()["version"] == 4 and ix.store.sweep() >= 1 and find("delta") == [(3, 1)]
+
+
+def test_pending_items_are_kept_each_for_itself(spark, tmp_path):
+    from siltstone.streaming.queue import PendingQueue
+
+    schema = "root string, path string, kind string, priority int, s double"
+    ev = lambda *r: spark.createDataFrame(list(r), schema).withColumn("ts", F.timestamp_micros((F.col("s") * 1e6).cast("long")))
+    q = PendingQueue(spark, str(tmp_path / "q"), quiet_s=2, buckets=4)
+    assert q.items().count() == 0
+    q.add(ev(("r", "a", "upsert", 2, 0.0), ("r", "a", "delete", 1, 1.0), ("r", "b", "upsert", 1, 0.0), ("s", "c", "upsert", 0, 0.5), (None, "x", "upsert", 1, 0.0)), 0)
+    q.add(ev(("r", "z", "upsert", 1, 9.0)), 0)  # the same batch again
+    at = lambda s: F.timestamp_micros(F.lit(int(s * 1e6)))
+    assert [(r.path, r.kind, r.events) for r in q.due(at(2.6)).collect()] == [("c", "upsert", 1), ("b", "upsert", 1)]
+    # a root that never falls quiet doesn't hold its quiet items back
+    q.add(ev(*[("r", "a", "upsert", 1, 1.0 + i / 2) for i in range(10)]), 1)
+    assert {r.path for r in q.due(at(5)).collect()} == {"b", "c"}
+    due = q.due(at(5))
+    q.add(ev(("r", "b", "delete", 1, 4.5)), 2)  # changes while it is worked off
+    q.done(spark.createDataFrame(due.where("path <> 'b'").collect(), due.schema))
+    again = PendingQueue(spark, str(tmp_path / "q"), quiet_s=2)
+    assert {(r.path, r.kind) for r in again.items().collect()} == {("a", "upsert"), ("b", "delete")}
+    again.add(ev(("r", None, "refresh", 0, 6.0)), 3)
+    got = again.due(at(20)).collect()
+    assert [(r.kind, r.path) for r in got] == [("refresh", None)]
+    again.done(spark.createDataFrame(got, again.due(at(20)).schema))
+    assert again.items().count() == 0
+    again.add(ev(("r", "n", "upsert", 1, 30.0), ("s", "m", "upsert", 1, 30.0)), 4)
+    again.clear_root("r")
+    assert [r.path for r in again.items().collect()] == ["m"]
