@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from siltstone.extract import extract_files
 from siltstone.extract.markup import html_text
 from siltstone.operators import search
 from siltstone.plans.search_queries import FILES_SQL, LINES_SQL, TODAY
+from siltstone.query import build_query
 from siltstone.runtime import read
 from siltstone.sources.adapters import document_files
 from siltstone.streaming import queue
@@ -115,3 +117,77 @@ def workflow_subsearch(spark: SparkSession, d: str) -> DataFrame:
 
 _add("workflow_subsearch", workflow_subsearch, f"""WITH {FILES_SQL}, {LINES_SQL}, p AS (SELECT DISTINCT path FROM lines JOIN files USING (file_id) WHERE contains(lower(content), 'archive'))
   SELECT path, line_number, content FROM lines JOIN files USING (file_id) WHERE contains(lower(content), 'records') AND path IN (SELECT path FROM p)""")
+
+
+# ------------------------------------------------------------- office formats
+
+
+def _plain_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that a markup file can hold (no control characters) with their lines."""
+    from siltstone.sources.adapters import split_lines
+
+    own = read(spark, d, "documents").where(r"text is not null and not text rlike '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\uFFFE\\uFFFF]'")
+    return own.select("doc_id", split_lines(F.col("text")).alias("lines"))
+
+
+def _office(kind: str):
+    """Documents written as files of an office format, one line a paragraph or row, and extracted again."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    def pack(lines) -> bytes:
+        if kind == "docx":
+            parts = {"word/document.xml": "<w>" + "".join(f"<p><r><t>{escape(x)}</t></r></p>" for x in lines) + "</w>"}
+        elif kind == "xlsx":
+            rows = "".join(f'<row r="{i}"><c t="s"><v>{i - 1}</v></c></row>' for i, x in enumerate(lines, 1))
+            parts = {
+                "xl/workbook.xml": '<w xmlns:r="rel"><sheets><sheet name="Text" r:id="rId7"/></sheets></w>', "xl/_rels/workbook.xml.rels": '<R><Relationship Id="rId7" Target="worksheets/sheet3.xml"/></R>',
+                "xl/sharedStrings.xml": "<s>" + "".join(f"<si><t>{escape(x)}</t></si>" for x in lines) + "</s>", "xl/worksheets/sheet3.xml": f"<w><sheetData>{rows}</sheetData></w>",
+            }
+        else:
+            parts = {"inner.txt": "\n".join(lines)}
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in parts.items():
+                z.writestr(name, text.encode("utf-8"))
+        return out.getvalue()
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        @F.pandas_udf("binary")
+        def packed(lines: pd.Series) -> pd.Series:
+            return lines.map(pack)
+
+        files = _plain_lines(spark, d).select(F.concat("doc_id", F.lit(f".{kind}")).alias("path"), packed("lines").alias("content"))
+        got = extract_files(files).where("line_number is not null")
+        return got.select(F.regexp_extract("path", r"^\d+", 0).cast("bigint").alias("doc_id"), F.col("line_number").cast("bigint").alias("line_number"), "content")
+
+    return query
+
+
+_PLAIN = r"""d AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS a FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{FFFE}\x{FFFF}]')),
+  l AS (SELECT doc_id, i, a[i] AS x FROM d, range(1, CASE WHEN len(a) > 1 AND a[len(a)] = '' THEN len(a) ELSE len(a) + 1 END) AS t(i))"""
+
+
+
+def _extracted_sql(content: str, where: str) -> str:
+    return f"WITH {_PLAIN} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS line_number, {content} AS content FROM l WHERE {where}"
+
+
+_BLANK = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*"
+_add("word_extract", _office("docx"), _extracted_sql("x", f"NOT regexp_full_match(x, '{_BLANK}')"))
+_add("excel_extract", _office("xlsx"), _extracted_sql("'[Text] ' || x", "x <> ''"))
+
+
+def watcher_items(spark: SparkSession, d: str) -> DataFrame:
+    """Watcher events of the pending changes as items of the queue: renames delete and upsert, errors refresh."""
+    e = read(spark, d, "pending_changes").where("path is not null").select(F.col("root_path").alias("root"), "path", F.concat("path", F.lit("~")).alias("old_path"), F.col("priority"), F.col("queued_at").alias("ts"),
+        F.element_at(F.array(*(F.lit(x) for x in ("created", "changed", "deleted", "renamed", "error"))), (F.col("id") % 5 + 1).cast("int")).alias("event"))
+    return queue.from_watcher(e).groupBy("root", "path", "kind").agg(F.count("*").alias("events"))
+
+
+_add("watcher_items", watcher_items, """WITH e AS (SELECT root_path AS root, path, id % 5 AS e FROM pending_changes WHERE path IS NOT NULL)
+  SELECT root, path, kind, count(*) AS events FROM (SELECT root, path, 'upsert' AS kind FROM e WHERE e IN (0, 1, 3) UNION ALL SELECT root, path, 'delete' FROM e WHERE e = 2 UNION ALL SELECT root, path || '~', 'delete' FROM e WHERE e = 3
+  UNION ALL SELECT root, NULL, 'refresh' FROM e WHERE e = 4) GROUP BY ALL""")
+_add("match_all", lambda s, d: search.search_texts(build_query("ext:pdf"), read(s, d, "documents").select("doc_id", "text"), "doc_id", files=document_files(read(s, d, "documents")), cap=None).groupBy("file_id").agg(F.count("*").alias("lines")),
+     f"WITH {FILES_SQL}, {LINES_SQL} SELECT file_id, count(*) AS lines FROM lines JOIN files USING (file_id) WHERE ext = '.pdf' GROUP BY file_id")

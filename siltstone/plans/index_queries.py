@@ -53,7 +53,7 @@ def stored_index(spark: SparkSession, d: str) -> FileIndex:
     key = (spark.sparkContext.applicationId, d)
     if key not in _BUILT:
         folder = f"{Scratch(spark).base}/index-{uuid.uuid4().hex}"
-        _BUILT[key] = FileIndex(spark, folder, buckets=32).build(_files(spark, d), _lines(spark, d))
+        _BUILT[key] = FileIndex(spark, folder, buckets=8).build(_files(spark, d), _lines(spark, d))
     return _BUILT[key]
 
 
@@ -407,4 +407,31 @@ def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("chunk_windows", chunk_windows)
+
+
+def chunk_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Per file: its units and text in chunks, and how many chunks are too long with more than one unit, or leave a unit out between them."""
+    units = read(spark, d, "content_units").select("id", "file_id", F.col("unit_text").alias("text"))
+    x = vectors.chunks(units).withColumn("n", F.size("unit_ids"))
+    per = x.groupBy("file_id").agg(F.count_if((F.char_length("chunk_text") > 2400) & (F.col("n") > 1)).alias("too_long"))
+    held = x.select("file_id", F.explode("unit_ids").alias("id")).groupBy("file_id").agg(F.count_distinct("id").alias("units"), F.count("*").alias("placed"))
+    most = x.groupBy("file_id").agg(F.count("*").alias("chunks")).join(held, "file_id").join(per, "file_id")
+    # at most one unit is shared by neighbours
+    return most.select("file_id", "units", "too_long", (F.col("placed") - F.col("units") > F.col("chunks") - 1).alias("shared_too_much"))
+
+
+_add("chunk_rules", chunk_rules, "SELECT file_id, count(DISTINCT id) AS units, 0 AS too_long, false AS shared_too_much FROM content_units WHERE trim(unit_text) <> '' GROUP BY file_id")
+
+
+def lsh_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of the hashed search, and whether it finds at least nine tenths of the 10 nearest that the exact search finds."""
+    v = _vectors(spark, d)
+    q = v.where("vec_id % 100 = 0")
+    index = Scratch(spark).keep(vectors.signatures(v, 64, "vec_id"))
+    near = vectors.hashed_top_k_many(v, index, q, 10, "vec_id").select("query_id", "vec_id", F.lit(1).alias("hit"))
+    x = vectors.top_k_many(v, q, 10, "vec_id").join(near, ["query_id", "vec_id"], "left")
+    return x.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("nine_tenths"))
+
+
+_add("lsh_recall", lsh_recall, "SELECT count(*) AS queries, true AS nine_tenths FROM embeddings WHERE vec_id % 100 = 0")
 _add("chunk_hash", lambda s, d: _once(read(s, d, "content_units")).select("id", F.sha2("unit_text", 256).alias("hash")), "SELECT DISTINCT id, sha256(unit_text) AS hash FROM content_units")
