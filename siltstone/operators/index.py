@@ -119,12 +119,16 @@ def stale(index: DataFrame, seen: DataFrame, key: str = "path") -> DataFrame:
 
 
 def root_stats(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """Per root: files by status, bytes and the latest index time."""
+    """Per root: files by status, bytes and the latest index time; with ``lines`` (``file_id``) also how many lines its files that are ok have."""
     ok = F.col("status") == "ok"
-    return files.groupBy("root_id").agg(
+    out = files.groupBy("root_id").agg(
         F.count("*").alias("files"), F.count_if(ok).alias("ok_files"), F.count_if(F.col("status") == "error").alias("failed_files"), F.count_if(F.col("status") == "skipped").alias("skipped_files"),
         F.sum("size_bytes").alias("bytes"), F.unix_micros(F.max("indexed_at")).alias("last_indexed_us"),
     )
+    if lines is None:
+        return out
+    per = lines.groupBy("file_id").agg(F.count("*").alias("n")).join(files.where(ok).select("file_id", "root_id"), "file_id").groupBy("root_id").agg(F.sum("n").alias("lines"))
+    return out.join(per, "root_id", "left").withColumn("lines", F.coalesce("lines", F.lit(0)).cast("bigint"))
 
 
 def strategy(kind: Column, usn: Column) -> Column:

@@ -52,6 +52,8 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: s
     kind = vectors.schema[key].dataType.simpleString()
     parts = max(1, -(-rows // block))
     cut = qs.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    # many blocks are worked off one by one and written to one table: the plan doesn't grow with them
+    table = Scratch(vectors.sparkSession).table() if parts > 1 else None
     out = None
     for i in range(parts):
         own = cut.where(F.col("_b") == i).collect()
@@ -88,7 +90,11 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: s
 
         own_columns = [F.col(key).alias("k"), F.col(vector).alias("v"), *([] if candidates is None else [F.col("_c").alias("c")])]
         got = chosen.select(*own_columns).mapInPandas(near, f"query_id {kind}, {key} {kind}, score double")
-        out = got if out is None else out.unionByName(got)
+        if table is None:
+            out = got
+        else:
+            got.write.mode("append").parquet(table)
+            out = vectors.sparkSession.read.schema(got.schema).parquet(table)
     if out is None:
         return qs.select("query_id", F.col("query_id").alias(key), F.lit(0.0).alias("score")).limit(0)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)

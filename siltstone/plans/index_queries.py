@@ -156,6 +156,9 @@ _add("stale_files", lambda s, d: index.stale(*_seen(s, d)).select("file_id", "pa
 _add("refreshed_index", lambda s, d: index.refresh(*_seen(s, d)).select("path", "size_bytes"), f"{_DIFF} SELECT path, size_bytes FROM s")
 _add("root_stats", lambda s, d: index.root_stats(indexed_files(read(s, d, "indexed_files"))), f"WITH {_FILES2} SELECT root_id, count(*) AS files, count_if(status = 'ok') AS ok_files, count_if(status = 'error') AS failed_files, count_if(status = 'skipped') AS skipped_files, CAST(sum(size_bytes) AS BIGINT) AS bytes, epoch_us(max(indexed_at)) AS last_indexed_us FROM f GROUP BY root_id")
 
+_add("root_lines", lambda s, d: index.root_stats(indexed_files(read(s, d, "indexed_files")), _once(read(s, d, "indexed_lines"))).select("root_id", "ok_files", "lines"),
+     f"WITH {_FILES2}, n AS (SELECT file_id, count(*) AS n FROM (SELECT DISTINCT * FROM indexed_lines) GROUP BY 1) SELECT root_id, count_if(status = 'ok') AS ok_files, CAST(COALESCE(sum(CASE WHEN status = 'ok' THEN n END), 0) AS BIGINT) AS lines FROM f LEFT JOIN n USING (file_id) GROUP BY root_id")
+
 
 def database_info(spark: SparkSession, d: str) -> DataFrame:
     f = indexed_files(read(spark, d, "indexed_files")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.unix_micros(F.max("indexed_at")).alias("last_indexed_us"))
@@ -433,5 +436,13 @@ def lsh_recall(spark: SparkSession, d: str) -> DataFrame:
     return x.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("nine_tenths"))
 
 
+def knn_in_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every vector whose id is divisible by 100, the queries in blocks of two."""
+    v = _vectors(spark, d)
+    return vectors.top_k_many(v, v.where("vec_id % 100 = 0"), 5, "vec_id", block=2).select("query_id", "vec_id")
+
+
+_add("knn_in_blocks", knn_in_blocks, """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+  SELECT query_id, vec_id FROM s WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 5""")
 _add("lsh_recall", lsh_recall, "SELECT count(*) AS queries, true AS nine_tenths FROM embeddings WHERE vec_id % 100 = 0")
 _add("chunk_hash", lambda s, d: _once(read(s, d, "content_units")).select("id", F.sha2("unit_text", 256).alias("hash")), "SELECT DISTINCT id, sha256(unit_text) AS hash FROM content_units")

@@ -53,6 +53,10 @@ class Scratch:
         self._path[id(out)] = path
         return out
 
+    def table(self) -> str:
+        """A path for a table that is written in parts."""
+        return f"{self.base}/{uuid.uuid4().hex}"
+
     def drop(self, *dfs: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in dfs:

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.runtime import Scratch
 from siltstone.operators.results import export_document
 from siltstone.query import build_query
 from siltstone.workflow.model import OPERATORS, WorkflowError, validate
@@ -77,6 +78,7 @@ class Runner:
         q = build_query(self._fill(s["query"], env), s.get("mode", "unified"), s.get("caseSensitive", False), self.today)
         scope = self.hits[s["scope"]].select("path").distinct() if s.get("scope") else None
         hits = self.search(q, scope)
+        hits = Scratch(hits.sparkSession).keep(hits)  # counted, searched in and exported: found once
         n = hits.agg(F.count("*").alias("hitCount"), F.count_distinct(F.lower("path")).alias("fileCount")).first()
         if s.get("maxHits"):
             hits = hits.orderBy("path", "line_number").limit(int(s["maxHits"]))
