@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import changes, hierarchy
-from siltstone.runtime import read
+from siltstone.runtime import Scratch, read
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,15 @@ def p1_visible(spark: SparkSession, d: str) -> DataFrame:
     return changes.replay(read(spark, d, "pending_changes"), sealed=False).select("root_path", "path_key", "id")
 
 
+def p1_half_sealed(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a feed whose first half is sealed: its gaps are void, the first gap after it holds."""
+    tx = Scratch(spark).keep(changes.transactions(read(spark, d, "pending_changes")))
+    holes = changes.gaps(tx)
+    half = tx.agg(F.floor((F.min("id") + F.max("id")) / 2).alias("half"))
+    voids = holes.join(F.broadcast(half), F.col("hi") < F.col("half")).select("lo", "hi")
+    return changes.apply_changes(tx, changes.watermark(tx, None, voids)).select("root_path", "path_key", "id")
+
+
 def p1_roots(spark: SparkSession, d: str) -> DataFrame:
     """Files and bytes that each root holds after all changes."""
     return (
@@ -61,7 +70,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(_tree(spark, d, "ancestors"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p1_gaps, p1_visible, p1_roots, p5_found, p5_paths, p5_descendants, p5_rounds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_watermark, p1_gaps, p1_visible, p1_half_sealed, p1_roots, p5_found, p5_paths, p5_descendants, p5_rounds)}
 
 _TX = r"""
 tx AS (
@@ -128,6 +137,12 @@ SQL = {
         UNION ALL SELECT id, id, 'incomplete' FROM tx WHERE NOT complete""",
     "p1_visible": f"""WITH {_TX}, {_MARK}, {_KEYED.format(extra='AND id <= (SELECT COALESCE(stop, last_id) FROM mark)')}
         SELECT root_path, path_key, id FROM state WHERE kind = 1""",
+    "p1_half_sealed": f"""WITH {_TX},
+        half AS (SELECT (min(id) + max(id)) // 2 AS half FROM tx),
+        holes AS (SELECT id AS lo, id AS hi FROM tx WHERE NOT complete UNION ALL SELECT id + 1, nxt - 1 FROM (SELECT id, lead(id) OVER (ORDER BY id) AS nxt FROM tx) WHERE nxt > id + 1),
+        mark AS (SELECT COALESCE((SELECT min(lo) - 1 FROM holes, half WHERE hi >= half), (SELECT max(id) FROM tx)) AS stop),
+        {_KEYED.format(extra='AND id <= (SELECT stop FROM mark)')}
+        SELECT root_path, path_key, id FROM state WHERE kind = 1""",
     "p1_roots": f"""WITH {_TX}, {_KEYED.format(extra='')}
         SELECT root_path, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, max(id) AS last_id FROM state WHERE kind = 1 GROUP BY root_path""",
     "p5_found": f"""WITH RECURSIVE {_ITEMS}, {_LOOPED}
