@@ -33,18 +33,33 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_LOCAL_DIR}"
 
 
+def _sweep(spark: SparkSession, folder: str) -> None:
+    """Removes a session's intermediate tables when the driver ends; a session that was stopped before leaves them."""
+    try:
+        if spark.sparkContext._jsc is not None:
+            p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  (nothing can be done about it at the end)
+        pass
+
+
 class Scratch:
     """Written intermediate tables of one operator call.
 
     ``keep(df)`` writes and reads back; ``drop(df)`` removes a table that no
     later plan reads. Tables that the returned plan still reads stay until the
-    folder is emptied.
+    driver ends with its session open, or else until the folder is emptied.
     """
 
+    _swept: set[str] = set()
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_folder(spark).rstrip('/')}/siltstone/{spark.sparkContext.applicationId}"
         self._path: dict[int, str] = {}
+        if self.base not in Scratch._swept:
+            Scratch._swept.add(self.base)
+            atexit.register(_sweep, spark, self.base)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{uuid.uuid4().hex}"
