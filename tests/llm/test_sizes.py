@@ -164,3 +164,27 @@ def test_weights_bias_the_draw(spark):
     mixes = spark.createDataFrame([(1, "a", 1.0, 1, 0.1)], "mix_id long, source string, target_share double, max_repeats int, size_factor double")
     got = [r.doc_id % 2 for r in mixing.draw(spark, docs, mixes).collect()]
     assert len(got) == 400 and 0.72 < got.count(0) / len(got) < 0.88
+
+
+def test_key_ranges_hold_alike_many_documents(spark, monkeypatch):
+    """However many ranges a source has, and whatever its weights, none is much fuller than the others, and ranges rise with the key."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), (0.05 + 0.95 * F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("weight"))
+    k = -F.log(mixing.uniform(F.col("doc_id"), 7)) / F.col("weight")
+    x = df.withColumn("k", k).join(mixing.key_shares(df), "source").withColumn("r", F.floor(mixing.share_below(F.col("k"), F.col("shares")) * F.col("ranges")))
+    n = x.groupBy("r").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("r").collect()
+    assert len(n) > 1150 and max(r.n for r in n) <= 2 * 50
+    assert all(a.hi <= b.lo for a, b in zip(n, n[1:], strict=False))
+
+
+def test_a_long_item_is_cut_in_proportion(spark):
+    text = " ".join(f"word{i}" + ("." if i % 9 == 0 else "") for i in range(60_000))
+    df = spark.createDataFrame([(1, text, 2400, 2)], "id int, text string, limit int, overlap_units int")
+    got = splitting.split_items(df).selectExpr("inline(pieces)").orderBy("piece_no").collect()
+    assert "".join(r.piece_text[r.overlap_length :] for r in got) == text and max(len(r.piece_text) for r in got) <= 2400
+    assert all(b.start == a.start + a.core_length for a, b in zip(got, got[1:], strict=False)) and all(r.overlap_length > 0 for r in got[1:])
+    lens = spark.createDataFrame([([3] * 200,), ([],), ([5],)], "n array<int>")
+    sums = [r[0] for r in lens.select(splitting.running(lens["n"])).collect()]
+    assert sums == [[3 * i for i in range(1, 201)], [], [5]]
