@@ -159,7 +159,7 @@ class Profile:
 
 
 def coverage(asked: Profile, roots: list[str], root: dict | None, use_index: bool = True, extractors: str | None = None, identity: str | None = None) -> tuple[str, str]:
-    """``(status, message)``: whether an index answers a search, by the first check that decides.
+    """``(status, message)``: whether an index answers a search, by the first check that decides. Statuses and messages are fixed values.
 
     ``root`` is what the index has of the root: ``indexed_at, content_version, options, extractors, identity``; None if it has nothing.
     """
