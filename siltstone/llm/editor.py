@@ -3,7 +3,7 @@
 What scanners confuse is not listed anywhere. It is learned from pairs of words that differ in one place: a word
 of scanned pages that no other text has, and a word that other texts have. Such pairs also arise by chance and by
 inflection, so the same pairs are drawn among the words of the other texts alone; an operation counts as a
-confusion where the scanned words show it far more often (:func:`learn_channel`).
+confusion where the scanned words show it far more often (:func:`learn_channel` for lists in memory; :mod:`siltstone.llm.scans` counts the pairs of all words by joins).
 
 The editor walks a word's characters. Where the characters at hand can have come from others, it proposes to replace,
 delete or insert; a run of such operations is a hypothesis about the word. An averaged perceptron scores a hypothesis by its
@@ -22,19 +22,25 @@ import random
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import xxhash
 
 HYPHENS = "-‐¬­"
-#: Words of which the channel and the perceptrons are taught: bounded samples of the corpus.
-SAMPLE_PAIRS, SAMPLE_WORDS = 8_000, 3_000
+#: Words that one task teaches the perceptrons, each once at least, and how many more it draws by frequency.
+SHARD_WORDS, MORE_WORDS = 8_000, 3_000
 #: Wrong hypotheses taught of each word.
 WRONG = 6
 #: Longest side of an operation, and how much more often than by chance scanned words must show it.
 MOST_CHARACTERS, BEYOND_CHANCE = 2, 3.0
+#: Least share of all operations that a confusion has.
+LEAST_SHARE = 1 / 1000
 #: Cells of the table of character triples.
 TRIPLE_CELLS = 1 << 18
 
+#: Of an editor without lessons, and of its join.
+NO_WEIGHTS: tuple[dict[str, float], dict[str, float]] = ({}, {"b": 1.0})
+
 Step = tuple[int, str, str]
 Counts = dict[str, tuple[int, int]]
 
@@ -120,13 +126,21 @@ def learn_channel(scanned_only: list[str], clean: list[str]) -> dict[tuple[str,
     scanned_only, clean = long(scanned_only), long(clean)
     rare = clean[len(clean) // 2 :]
     found, chance = tally(scanned_only, clean), tally(rare, clean)
-    whole = sum(found.values()) or 1.0
+    once = sum(1 for n in chance.values() if n <= 1)
+    return confusions([(op, n, chance[op]) for op, n in found.items()], sum(found.values()), once, len(found.keys() - chance.keys()), len(scanned_only), len(rare))
+
+
+def confusions(found: Iterable[tuple[tuple[str, str], float, float]], whole: float, once: int, new: int, scanned: int, rare: int) -> dict[tuple[str, str], float]:
+    """The operations of ``found`` (with how often scanned words and ``rare`` other ones show them) that are confusions, with their rates.
+
+    ``once`` operations came about once at most by chance, ``new`` ones never.
+    """
     # an operation not drawn among the clean words may still arise by chance: as often as those that were drawn once suggest (Good and Turing)
-    unseen = sum(1 for n in chance.values() if n <= 1) / max(1, len(found.keys() - chance.keys()))
+    unseen = once / max(1, new)
     out = {}
-    for op, n in found.items():
-        rate = n / max(1, len(scanned_only))
-        if n >= whole / 1000 and op[1].isalpha() and rate >= BEYOND_CHANCE * (chance[op] + unseen) / max(1, len(rare)):
+    for op, n, by_chance in found:
+        rate = n / max(1, scanned)
+        if n >= (whole or 1.0) * LEAST_SHARE and op[1].isalpha() and rate >= BEYOND_CHANCE * (by_chance + unseen) / max(1, rare):
             out[op] = rate
     return out
 
@@ -271,16 +285,38 @@ def _spoil(word: str, channel: dict[tuple[str, str], float], rng: random.Random)
     return (i, seen, own), word[:i] + seen + word[i + len(printed) :]
 
 
-def train_editor(words: Counts, channel: dict[tuple[str, str], float], look: Callable[[set[str]], Lexicon], sample: int = SAMPLE_WORDS, seed: int = 11) -> tuple[dict[str, float], dict[str, float]]:
-    """Weights of the editor and of the join. ``words`` is a sample of words with their counts; ``look`` gives the counts of others."""
+class Lessons(NamedTuple):
+    """``cases``: word, steps, result, hidden, right; ``breaks``: left, right, hyphen, hidden, right."""
+
+    cases: list[tuple[str, list[Step], str, bool, bool]]
+    breaks: list[tuple[str, str, str, bool, bool]]
+
+    def wanted(self) -> set[str]:
+        """The words whose counts the lessons need."""
+        return {x.lower() for w, _, out, *_ in self.cases for x in (w, out)} | {x.lower() for a, b, *_ in self.breaks for x in (a, b, a + b, f"{a}-{b}")}
+
+    def train(self, lex: Lexicon) -> tuple[dict[str, float], dict[str, float]]:
+        """Weights of the editor and of the join."""
+        # a spoiled word that other texts have is a word of its own
+        rows = [(edit_features(lex, w, s, out, hidden), right) for w, s, out, hidden, right in self.cases if not (right and not hidden and lex.clean(w))]
+        joins = [(join_features(lex, a, b, h, hidden=hidden), right) for a, b, h, hidden, right in self.breaks]
+        return Perceptron().train(rows).w, Perceptron().train(joins).w
+
+
+def lessons(words: Counts, channel: dict[tuple[str, str], float], drawn: int = MORE_WORDS, seed: int = 11) -> Lessons | None:
+    """What ``words`` with their counts teach, each of them once at least and ``drawn`` more by frequency; None without words."""
     rng = random.Random(seed)
     pool = sorted(w for w, (a, _) in words.items() if a and "-" not in w and 2 <= len(w) <= 24)
     if not pool:
-        return {}, {"b": 1.0}
+        return None
+
+    def each(ws: list[str], least: int) -> list[str]:
+        return ws + rng.choices(ws, k=max(0, least - len(ws))) if ws else []
+
     weight = [words[w][0] ** 0.5 for w in pool]
     brief = [w for w in pool if len(w) <= 3]
     cases: list[tuple[str, list[Step], str, bool, bool]] = []  # word, steps, result, hidden, right
-    for w in rng.choices(pool, weights=weight, k=sample) + (rng.choices(brief, weights=[words[w][0] ** 0.5 for w in brief], k=sample // 5) if brief else []) + rng.choices(pool, k=sample // 4):
+    for w in rng.choices(pool, weights=weight, k=drawn) + (rng.choices(brief, weights=[words[w][0] ** 0.5 for w in brief], k=drawn // 5) if brief else []) + each(pool, drawn // 4):
         shape = rng.random()
         w = w.capitalize() if shape < 0.25 else w.upper() if shape < 0.33 else w
         hidden = rng.random() < 0.3
@@ -310,24 +346,25 @@ def train_editor(words: Counts, channel: dict[tuple[str, str], float], look: Cal
             cases += [c for c in all_ if c[4]] + rng.sample(wrong, min(WRONG, len(wrong)))
     breaks: list[tuple[str, str, str, bool, bool]] = []
     long = [w for w in pool if len(w) >= 5]
-    for w in rng.choices(long, k=sample // 2) if long else []:
+    for w in each(long, drawn // 2):
         k = rng.randint(2, len(w) - 2)
         breaks.append((w[:k], w[k:], rng.choice(HYPHENS), rng.random() < 0.25, True))
     known = set(pool)
-    for w in rng.choices(long, k=sample // 2) if long else []:  # broken without a hyphen, and words that merely follow each other
+    for w in each(long, drawn // 2):  # broken without a hyphen, and words that merely follow each other
         k = rng.randint(2, len(w) - 2)
         breaks.append((w[:k], w[k:], "", False, not (w[:k] in known and w[k:] in known)))
         breaks.append((rng.choice(pool), rng.choice(pool), "", False, False))
     compounds = [w for w, (a, _) in words.items() if a and w.count("-") == 1]
-    for w in rng.choices(compounds, k=sample // 2) if compounds else []:
+    for w in each(compounds, drawn // 2):
         a, b = w.split("-")
         if a and b:
             breaks.append((a, b, "-", False, False))
-    for w in rng.choices(pool, k=sample // 20):  # names and references keep their own hyphen
+    for w in rng.choices(pool, k=drawn // 20):  # names and references keep their own hyphen
         breaks += [(w[:2].upper(), str(rng.randint(10, 9999)), "-", False, False), (f"{w}_{w[:2]}", f"{rng.randint(1, 9999)}.{w[:3]}", "-", False, False)]
-    wanted = {x.lower() for w, _, out, *_ in cases for x in (w, out)} | {x.lower() for a, b, *_ in breaks for x in (a, b, a + b, f"{a}-{b}")}
-    lex = look(wanted)
-    # a spoiled word that other texts have is a word of its own
-    rows = [(edit_features(lex, w, s, out, hidden), right) for w, s, out, hidden, right in cases if not (right and not hidden and lex.clean(w))]
-    joins = [(join_features(lex, a, b, h, hidden=hidden), right) for a, b, h, hidden, right in breaks]
-    return Perceptron().train(rows).w, Perceptron().train(joins).w
+    return Lessons(cases, breaks)
+
+
+def train_editor(words: Counts, channel: dict[tuple[str, str], float], look: Callable[[set[str]], Lexicon], drawn: int = MORE_WORDS, seed: int = 11) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of the editor and of the join, taught in one go; ``look`` gives the counts of other words."""
+    own = lessons(words, channel, drawn, seed)
+    return own.train(look(own.wanted())) if own else NO_WEIGHTS

@@ -11,8 +11,8 @@ Two kinds of averaged perceptrons are trained at call time, without hand labels:
 
 Each distinct part of a word is edited once. Its hypotheses are looked up in the counts of all words by a join, in rounds of one
 operation each, and the edits go back to the lines by another. Nothing that grows with the vocabulary is broadcast: models and tables of
-fixed size are, and a filter of fixed size that tells which parts of a line are worth a join. Samples for training are
-bounded by ``SAMPLE_LINES``, ``editor.SAMPLE_PAIRS`` and ``editor.SAMPLE_WORDS``.
+fixed size are, and a filter of fixed size that tells which parts of a line are worth a join. All lines and words teach: in shards of at most
+about ``SHARD_LINES`` lines or ``editor.SHARD_WORDS`` words, whose weights are averaged.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from siltstone.llm import editor
 from siltstone.llm.editor import HYPHENS, Perceptron, Step
 from siltstone.runtime import Scratch, spread
 
-SAMPLE_LINES = 12_000
+SHARD_LINES = 12_000
 SCANNERS = ("pdf-ocr", "image-ocr")
 #: Most operations on one word, and how many hypotheses a next operation goes on from.
 MOST_STEPS, BEAM = 3, 4
@@ -227,12 +227,94 @@ def word_counts(units: DataFrame) -> DataFrame:
     return per.select(F.explode(parts).alias("w"), "a", "s").groupBy("w").agg(F.sum("a").alias("a"), F.sum("s").alias("s"))
 
 
-def _asked(words: DataFrame, wanted: set[str]) -> dict[str, tuple[int, int]]:
-    """The counts of some words, as many as the caller's samples bound."""
-    if not wanted:
-        return {}
-    own = words.sparkSession.createDataFrame(pd.DataFrame({"w": sorted(wanted)}))
-    return {r.w: (r.a, r.s) for r in words.join(own, "w").collect()}
+def _holes(words: DataFrame) -> DataFrame:
+    """Each ``w`` with ``i, h, key`` of every run of up to two characters cut out of it; the key is what remains on both sides."""
+    cut = f"transform(sequence(0, length(w)), i -> transform(sequence(0, least({editor.MOST_CHARACTERS}, length(w) - i)), h -> struct(i, h, xxhash64(substring(w, 1, i), substring(w, i + h + 1)) as key)))"
+    return words.select("w", F.explode(F.flatten(F.expr(cut))).alias("x")).select("w", "x.*")
+
+
+def differences(words: DataFrame, others: DataFrame) -> DataFrame:
+    """``seen, printed, n``: how the words ``w`` differ in one place from others, as :func:`editor.difference` tells it; each word counts as one, shared by its pairs."""
+    left = _holes(words)
+    right = _holes(others).select(F.col("w").alias("c"), F.col("i").alias("j"), F.col("h").alias("g"), "key")
+    seen, printed = F.expr("substring(w, i + 1, h)"), F.expr("substring(c, i + 1, g)")
+    # of the places where the same remains, the one with the longest beginning and then the longest end: every pair comes once
+    first = (F.col("i") == F.least(F.length("w"), F.length("c"))) | (F.expr("substring(w, i + 1, 1)") != F.expr("substring(c, i + 1, 1)"))
+    last = (F.col("h") == 0) | (F.col("g") == 0) | (F.right(seen, F.lit(1)) != F.right(printed, F.lit(1)))
+    # a table of words is small, its holes are not: neither side is broadcast
+    pairs = left.hint("merge").join(right.hint("merge"), "key").where((F.col("i") == F.col("j")) & (F.col("w") != F.col("c")) & first & last).select("w", seen.alias("seen"), printed.alias("printed"))
+    shared = pairs.groupBy("w", "seen", "printed").agg(F.count("*").alias("k")).withColumn("of", F.sum("k").over(Window.partitionBy("w")))
+    return shared.groupBy("seen", "printed").agg(F.round(F.sum(F.col("k") / F.col("of")), 6).alias("n"))
+
+
+def channel_of(scanned_only: DataFrame, clean: DataFrame, scratch: Scratch) -> dict[tuple[str, str], float]:
+    """:func:`editor.learn_channel` over all words: ``w`` that only scanned pages have, and ``w, a`` of other texts.
+
+    Words that are as frequent as the middle one, or less, show how often words differ by chance.
+    """
+    of_word = (F.length("w") >= 3) & (F.length("w") <= 24) & ~F.col("w").rlike("[-’']")
+    scanned_only, clean = scratch.keep(scanned_only.where(of_word)), scratch.keep(clean.where(of_word))
+    by_count = sorted((r.a, r.n) for r in clean.groupBy("a").agg(F.count("*").alias("n")).collect())
+    upto, middle, half = 0, 0, -(-sum(n for _, n in by_count) // 2)
+    for a, n in by_count:
+        if upto < half:
+            upto, middle = upto + n, a
+    found = scratch.keep(differences(scanned_only, clean.select("w")))
+    chance = scratch.keep(differences(clean.where(F.col("a") <= middle).select("w"), clean.select("w")))
+    op = ["seen", "printed"]
+    whole = found.agg(F.sum("n")).first()[0] or 0.0
+    once, new = chance.where("n <= 1").count(), found.join(chance, op, "left_anti").count()
+    # each has a fixed share of the whole, so there are not many
+    often = found.where(F.col("n") >= whole * editor.LEAST_SHARE).join(chance.withColumnRenamed("n", "m"), op, "left").collect()
+    out = editor.confusions(sorted(((r.seen, r.printed), r.n, r.m or 0.0) for r in often), whole, once, new, scanned_only.count(), upto)
+    scratch.drop(scanned_only, clean, found, chance)
+    return out
+
+
+def _averaged(weights: DataFrame, shards: int) -> dict[str, dict[str, float]]:
+    """The mean weights of each ``kind`` of perceptron, of ``kind, f, x`` of the shards. Features are of a fixed number of forms."""
+    out: dict[str, dict[str, float]] = {}
+    for r in weights.groupBy("kind", "f").agg(F.sum("x").alias("x")).collect():
+        out.setdefault(r.kind, {})[r.f] = r.x / shards
+    return out
+
+
+def _weight_rows(**perceptrons: dict[str, float]) -> pd.DataFrame:
+    return pd.DataFrame([(k, f, float(x)) for k, w in perceptrons.items() for f, x in w.items()], columns=["kind", "f", "x"])
+
+
+def _taught(words: DataFrame, clean: DataFrame, model, scratch: Scratch) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of the editor and of the join: shards of all words of other texts are taught each in a task, and averaged.
+
+    A shard's lessons are made twice, which is cheaper than to move them: for the words whose counts they need, and to be taught.
+    """
+    count = clean.count()
+    if not count:
+        return editor.NO_WEIGHTS
+    shards = -(-count // editor.SHARD_WORDS)
+    own = scratch.keep(clean.select(F.pmod(F.xxhash64("w"), F.lit(shards)).cast("int").alias("shard"), "w", "a", "s"))
+    apart = lambda df: df.repartition(2 * shards, "shard")  # noqa: E731  (a number given, shards aren't put together by their bytes)
+
+    def made(f: pd.DataFrame) -> editor.Lessons | None:
+        f = f.sort_values("w")
+        return editor.lessons({w: (int(a), int(s)) for w, a, s in zip(f["w"], f["a"], f["s"], strict=True)}, model.value["channel"])
+
+    def ask(f: pd.DataFrame) -> pd.DataFrame:
+        x = made(f)
+        return pd.DataFrame({"shard": f["shard"].iloc[0], "w": sorted(x.wanted()) if x else []})
+
+    def teach(f: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        x, m = made(f) if len(f) else None, model.value
+        if not x:
+            return _weight_rows(join=editor.NO_WEIGHTS[1])
+        lex = editor.Lexicon({w: (int(a), int(s)) for w, a, s in zip(known["w"], known["a"], known["s"], strict=True)}, m["totals"], m["triples"], m["types"])
+        edit, join = x.train(lex)
+        return _weight_rows(edit=edit, join=join)
+
+    asked = apart(own).groupBy("shard").applyInPandas(ask, "shard int, w string").join(words, "w").select("shard", "w", "a", "s")
+    w = _averaged(apart(own).groupBy("shard").cogroup(apart(asked).groupBy("shard")).applyInPandas(teach, "kind string, f string, x double"), shards)
+    scratch.drop(own)
+    return w.get("edit", {}), w.get("join", {})
 
 
 def _triples(words: DataFrame) -> dict[int, int]:
@@ -383,21 +465,17 @@ def repair_line(content: str, fixes: dict[str, list[Step]], goes_on: tuple[int,
 # ------------------------------------------------------------------ operator
 
 
-def _teach(words: DataFrame, parts: DataFrame) -> dict:
+def _teach(words: DataFrame, parts: DataFrame, scratch: Scratch) -> dict:
     """The models and the tables of fixed size they need."""
     seen = F.col("a") > 0
     totals = words.agg(F.sum("a"), F.sum("s"), F.count_if(seen)).first()
-    total, types = (totals[0] or 1, totals[1] or 1), totals[2] or 0
-    triples = _triples(words)
-    clean = [(r.w, r.a, r.s) for r in words.where(seen).orderBy(F.desc("a"), "w").limit(editor.SAMPLE_PAIRS).collect()]
-    low = parts.where(F.length("part") >= 3).groupBy(F.lower("part").alias("w")).agg(F.sum("n").alias("n")).join(words.where(seen).select("w"), "w", "left_anti")
-    count = max(1, low.count())
-    drawn = low.where(F.pmod(F.xxhash64("w"), F.lit(1 << 20)) < min(1.0, 1.2 * editor.SAMPLE_PAIRS / count) * (1 << 20)).limit(editor.SAMPLE_PAIRS).collect()
-    channel = editor.learn_channel(sorted(r.w for r in drawn), [w for w, *_ in clean])
-    sample = {w: (a, s) for w, a, s in clean}
-    look = lambda wanted: editor.Lexicon(_asked(words, wanted), total, triples, types)
-    edit_w, join_w = editor.train_editor(sample, channel, look)
-    return {"channel": channel, "edit": edit_w, "join": join_w, "totals": total, "triples": triples, "types": types}
+    clean = words.where(seen)
+    low = parts.where(F.length("part") >= 3).select(F.lower("part").alias("w")).distinct().join(clean.select("w"), "w", "left_anti")
+    m = {"channel": channel_of(low, clean.select("w", "a"), scratch), "totals": (totals[0] or 1, totals[1] or 1), "triples": _triples(words), "types": totals[2] or 0}
+    given = words.sparkSession.sparkContext.broadcast(m)
+    edit_w, join_w = _taught(words, clean, given, scratch)
+    given.destroy()
+    return m | {"edit": edit_w, "join": join_w}
 
 
 def _cell(part: str) -> int:
@@ -438,7 +516,7 @@ def repaired_lines(units: DataFrame, lines: DataFrame) -> DataFrame:
             yield pd.DataFrame({"part": list(parts), "n": list(parts.values())})
 
     parts = scratch.keep(body.select("content", "after").mapInPandas(look, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")))
-    model = spark.sparkContext.broadcast(_teach(words, parts))
+    model = spark.sparkContext.broadcast(_teach(words, parts, scratch))
     fixes = scratch.keep(edited_parts(parts.select("part"), words, model, scratch))
 
     @F.pandas_udf("boolean")
@@ -476,9 +554,13 @@ def repaired_lines(units: DataFrame, lines: DataFrame) -> DataFrame:
 def _with_furniture(own: DataFrame, scratch: Scratch) -> DataFrame:
     spark = own.sparkSession
     edges = scratch.keep(edge_lines(own))
-    part = min(1.0, SAMPLE_LINES / max(1, edges.count()))
-    sample = edges.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part * (1 << 20)).limit(2 * SAMPLE_LINES).collect()
-    weights = spark.sparkContext.broadcast(train_furniture(sorted(sample, key=lambda r: r.id)))
+    shards = max(1, -(-edges.count() // SHARD_LINES))
+
+    def teach(f: pd.DataFrame) -> pd.DataFrame:
+        return _weight_rows(furniture=train_furniture(list(f.sort_values("id").itertuples(index=False))))
+
+    apart = edges.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).repartition(2 * shards, "shard")
+    weights = spark.sparkContext.broadcast(_averaged(apart.groupBy("shard").applyInPandas(teach, "kind string, f string, x double"), shards).get("furniture", {}))
     cols = ["content", "top", "bottom", "of", "wide", "text", "numbered", "n_run", "n_text", "files"]
 
     @F.pandas_udf("boolean")

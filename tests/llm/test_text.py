@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from siltstone.llm import editor, encoding, language, scans
+from siltstone.runtime import Scratch
 
 CLEAN = {
     "de": "Die Prüfstelle überträgt das Verzeichnis der Maßnahmen während der Mittagspause für die Geschäftsführung.",
@@ -190,6 +192,41 @@ def test_editor_learns_the_scanner_and_edits_held_out_words():
     assert joins("cata-", "logue") and joins("insur\u00ad", "ances.") and not joins("hand-", "written") and not joins("long-", "term.") and not joins("x_ab-", "2914.csv") and not joins("word", "next")
 
 
+def test_all_words_teach(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(7, 10)))
+    usual, rare = {word(): 50 for _ in range(8_500)}, {word(): 1 for _ in range(400)}
+    spoilt = {w[:i] + s + w[i + len(t) :] for w in rare for s, t in (("1", "l"), ("@", "a"), ("ri", "n"), ("c", "e")) for i in [w.find(t)] if i >= 0}
+    clean = spark.createDataFrame(list((usual | rare).items()), "w string, a long")
+    only = spark.createDataFrame([(w,) for w in spoilt], "w string")
+    channel = scans.channel_of(only, clean, Scratch(spark))
+    assert {("1", "l"), ("@", "a"), ("ri", "n"), ("c", "e")} == set(channel)
+    # the most frequent words alone don't show it
+    assert not editor.learn_channel(sorted(spoilt), sorted(usual)[:8_000])
+    near = ["a", "aa", "aaa", "abab", "aab", "baa", "archive", "archves", "arch1ve", "arcives", "rnodern", "modern", "modem", "xy"]
+    want: Counter = Counter()
+    for _, steps in editor.aligned(near, near):
+        for _, seen, printed in steps:
+            want[seen, printed] += 1 / len(steps)
+    df = spark.createDataFrame([(w,) for w in near], "w string")
+    got = {(r.seen, r.printed): r.n for r in scans.differences(df, df).collect()}
+    assert got == {k: pytest.approx(n, abs=1e-5) for k, n in want.items()} and len(got) > 10
+    own = editor.lessons({w: (a, 0) for w, a in usual.items()}, channel, 10)
+    assert {a + b for a, b, *_ in own.breaks} >= set(usual)
+
+
+def test_shards_teach_together(spark, book, monkeypatch):
+    monkeypatch.setattr(scans, "SHARD_LINES", 60)
+    monkeypatch.setattr(editor, "SHARD_WORDS", 60)
+    units, lines, truth = book
+    u = spark.createDataFrame(units, "id long, file_id long, unit_text string, extractor_id string")
+    ln = spark.createDataFrame(lines, "id long, file_id long, content_unit_id long, line_number int, page int, content string")
+    got = {(r.id, k) for r in scans.repaired_lines(u, ln).collect() for k in ("furniture", "broken", "misread") if r[k]}
+    both = len(got & truth)
+    assert both >= 0.95 * len(truth) and both >= 0.95 * len(got), (sorted(truth - got)[:9], sorted(got - truth)[:9])
+
+
 def test_lines_are_put_together_from_their_edits():
     fixes = {"arch1ve": [(4, "1", "i")]}
     word = (4, [(5, "0", "o")])  # cata-l0gue
